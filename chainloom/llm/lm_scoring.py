@@ -7,9 +7,9 @@ at most depth / p_min of them whatever the corpus), and is retained if its next-
 diverges from its suffix's by at least `bits` in all (count x Kullback-Leibler), or if a retained context needs it.
 Distributions are smoothed with the suffix's (Witten-Bell), down to uniform; the longest retained suffix scores.
 
-Counting covers all training texts. Documents are dealt by hash into blocks of some `block_bytes`; a block
-counts its words and its n-grams once and emits words as rows, n-grams as sorted compressed runs by a hash range of
-their context. Runs of a range are merged in one task (its size is bounded by the alphabet, not by
+Counting covers all training texts. Documents are dealt by hash into blocks of some `block_bytes` (they travel
+normalised and compressed); a block counts its words and its n-grams once and emits words as rows, n-grams as
+sorted compressed runs by a hash range of their context. Runs of a range are merged in one task (its size is bounded by the alphabet, not by
 the corpus). Word counts are aggregated over the corpus and joined back by word to the blocks that have the word:
 each block gets the counts of its own words and scores its own texts. Nothing that grows is broadcast or collected.
 
@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +36,18 @@ from .common import partitions, store
 
 DEPTH, P_MIN, DIVERGENCE_BITS, BLOCK_BYTES, RANGES = 5, 1e-6, 12.0, 16 << 20, 64
 #: Bytes of text whose n-grams are sorted at once.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 END = 10
 LONG_TOKEN = 40
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def normal(text: str | None) -> bytes:
+    """The words of a text, A-Z lower-cased, joined by one space."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def words(line: bytes) -> list[bytes]:
+    return line.split(b" ") if line else []
 
 
 def token_key(word: bytes) -> bytes:
@@ -49,10 +55,9 @@ def token_key(word: bytes) -> bytes:
     return word if len(word) <= LONG_TOKEN else b" " + hashlib.sha256(word).digest()
 
 
-def stream(texts: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def stream(parts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams (depth bytes of context, then the symbol; in one uint64) of all symbols, and each text's symbols."""
     pad = bytes([END]) * depth
-    parts = [b" ".join(w) for w in texts]
     s = np.frombuffer(b"".join(pad + p + bytes([END]) for p in parts), np.uint8)
     size = np.array([len(p) + 1 for p in parts], np.int64)
     if not len(s):
@@ -159,6 +164,43 @@ def grow(candidates: dict[int, tuple[np.ndarray, np.ndarray]], bits: float = DIV
     return tree
 
 
+_BLOB = pa.schema([("id", pa.int64()), ("learn", pa.bool_()), ("line", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, learn, text) to rows (block, blob), each blob some documents of a block, normalised."""
+    held: dict[int, tuple[list, list, list]] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        for block, columns in held.items():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _BLOB, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _BLOB, strict=True)], schema=_BLOB))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
+        held.clear()
+        size = 0
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            line = normal(batch.column(3)[i].as_py())
+            columns = held.setdefault(batch.column(0)[i].as_py(), ([], [], []))
+            for c, x in zip(columns, (batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), line), strict=True):
+                c.append(x)
+            size += len(line) + 100
+            if size >= 16 * PART_BYTES:
+                yield from flush()
+    yield from flush()
+
+
+def _documents(blobs) -> Iterator[tuple[int | None, bool, bytes]]:
+    for blob in blobs:
+        with pa.ipc.open_stream(blob) as r:
+            for batch in r:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 def _count_block(depth: int, ranges: int):
     """Of a block: rows of words (token, n in training texts), runs of n-grams of training texts (range, order, run)."""
 
@@ -167,7 +209,7 @@ def _count_block(depth: int, ranges: int):
         other: set = set()
         ends = symbols = size = 0
         merged: tuple[np.ndarray, np.ndarray] | None = None
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
 
         def flush() -> None:
             nonlocal merged, held, size, symbols
@@ -177,15 +219,14 @@ def _count_block(depth: int, ranges: int):
                 merged = new if merged is None else count(np.concatenate([merged[0], new[0]]), np.concatenate([merged[1], new[1]]))
                 held, size = [], 0
 
-        for text, learn in zip(d["text"], d["learn"], strict=True):
-            w = words(text)
+        for _, learn, line in _documents(d["blob"]):
             if not learn:
-                other.update(w)
+                other.update(words(line))
                 continue
-            seen.update(w)
+            seen.update(words(line))
             ends += 1
-            held.append(w)
-            size += len(text or "")
+            held.append(line)
+            size += len(line)
             if size >= PART_BYTES:
                 flush()
         flush()
@@ -227,11 +268,10 @@ def _merge(least: float):
 
 def _score_block(tree, n_tokens: int, kinds: int, depth: int):
     def run(d: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        c = dict(zip(known["token"], known["c"], strict=True))
-        ends = c.get(b"", 0)
-        low = math.log10(n_tokens + kinds + 1)
+        c = dict(zip(known["token"], known["c"].tolist(), strict=True))
+        ends, low = c.get(b"", 0), math.log10(n_tokens + kinds + 1)
         out: list[tuple] = []
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
         size = 0
         scores: list[np.ndarray] = []
 
@@ -243,20 +283,21 @@ def _score_block(tree, n_tokens: int, kinds: int, depth: int):
                 scores.append(np.add.reduceat(tree.value.log10(keys)[back], np.cumsum(per) - per))
                 held, size = [], 0
 
-        for doc, text in zip(d["id"], d["text"], strict=True):
-            w = words(text)
-            n = np.array([c[t if len(t) <= LONG_TOKEN else token_key(t)] for t in w] + [ends], np.float64)
-            out.append((doc, len(n), int((n > 0).sum()), float((np.log10(n + 1) - low).sum())))
-            held.append(w)
-            size += len(text or "")
+        for doc, learn, line in _documents(d["blob"]):
+            w = words(line)
+            if w and max(map(len, w)) > LONG_TOKEN:
+                w = [token_key(t) for t in w]
+            n = np.fromiter(map(c.__getitem__, w), np.float64, len(w))
+            out.append((doc, learn, len(n) + 1, int(np.count_nonzero(n)) + (ends > 0), float((np.log10(n + 1) - low).sum()) + math.log10(ends + 1) - low))
+            held.append(line)
+            size += len(line)
             if size >= PART_BYTES:
                 flush()
         flush()
-        made = pd.DataFrame(out, columns=["id", "n_tokens", "n_known", "base_score"])
+        made = pd.DataFrame(out, columns=["id", "learn", "n_tokens", "n_known", "base_score"])
         made["id"] = made["id"].astype("Int64")
         made["score"] = np.concatenate(scores) if scores else np.zeros(0)
-        made["learn"] = d["learn"].to_numpy()
-        return made[["id", "learn", "n_tokens", "n_known", "base_score", "score"]]
+        return made
 
     return run
 
@@ -269,7 +310,8 @@ def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(partitions(spark), math.ceil(total / block_bytes))
-    rows = rows.select((F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).cast("int").alias("block"), "id", "text", "learn")
+    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), "learn", "text")
+    rows = rows.mapInArrow(_pack, "block int, blob binary")
     counted = store(rows.groupBy("block").applyInPandas(_count_block(depth, ranges), "block int, token binary, n long, part int, ord int, run binary"))
     symbols = counted.where("ord = 0").groupBy("block").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     merged = counted.where("ord >= 0").select("part", "ord", "run").groupBy("part", "ord").applyInPandas(_merge(p_min * symbols), "ord int, keys binary, n binary")
