@@ -3,7 +3,9 @@
 Texts and items are lower-cased and their white space is collapsed. An item of m characters may occur
 with up to k = floor(m * error_rate) edits; cut into k+1 pieces, at least one piece must then occur
 unchanged. One Aho-Corasick pass over a text finds all pieces of all items; windows around the hits are
-verified with Myers' bit-parallel edit distance (an item's column is one arbitrarily long integer).
+verified with Myers' bit-parallel edit distance (an item's column is one arbitrarily long integer). The pieces are
+the leaves of a binary tree: n neighbouring pieces may have n-1 edits together, since n in each half would exceed
+that. So a hit is first verified on two pieces, then on four, and few hits get as far as the whole item.
 
 Only the items travel: in blocks of at most `block_chars` characters, one scan of the documents a block,
 so what is broadcast is bounded whatever the benchmark's size. Texts are never shuffled.
@@ -60,6 +62,41 @@ def myers(eq: dict[str, int], m: int, text: str, free_start: bool = True) -> tup
     return best, end
 
 
+class _Item:
+    """An item, its pieces' edges, and for each piece the path of piece ranges from it up to (not including) the whole."""
+
+    def __init__(self, item_id: int, text: str, k: int) -> None:
+        self.id, self.text, self.k = item_id, text, k
+        cut = pieces(text, k)
+        self.edges = [o for o, _ in cut] + [len(text)]
+        self.columns: dict[tuple[int, int], dict[str, int]] = {}
+        self.paths: list[list[tuple[int, int]]] = [[] for _ in cut]
+        self._split(0, k + 1)
+        self.paths = [p[::-1] for p in self.paths]
+
+    def _split(self, a: int, b: int) -> None:
+        if b - a > 1:
+            for x, y in ((a, (a + b) // 2), ((a + b) // 2, b)):
+                if y - x > 1:
+                    for i in range(x, y):
+                        self.paths[i].append((x, y))
+                self._split(x, y)
+
+    def likely(self, piece: int, text: str, start: int) -> bool:
+        """Whether the ranges around a piece found at text[start:] all keep to their edits."""
+        for a, b in self.paths[piece]:
+            lo, hi, most = self.edges[a], self.edges[b], b - a - 1
+            at = start - (self.edges[piece] - lo)
+            window = text[max(0, at - most) : at + hi - lo + most]
+            if self.text[lo:hi] in window:
+                continue
+            if (a, b) not in self.columns:
+                self.columns[a, b] = _columns(self.text[lo:hi])
+            if myers(self.columns[a, b], hi - lo, window)[0] > most:
+                return False
+        return True
+
+
 class Matcher:
     """Finds the items of a block in texts."""
 
@@ -73,29 +110,34 @@ class Matcher:
                 continue
             k = int(len(text) * error_rate)
             at = len(self.items)
-            self.items.append((item_id, text, k, _columns(text), _columns(text[::-1])))
-            for offset, piece in pieces(text, k):
+            self.items.append(_Item(item_id, text, k))
+            for i, (_, piece) in enumerate(pieces(text, k)):
                 if piece in self.auto:
-                    self.auto.get(piece).append((at, offset))
+                    self.auto.get(piece)[1].append((at, i))
                 else:
-                    self.auto.add_word(piece, [(at, offset)])
+                    self.auto.add_word(piece, (len(piece), [(at, i)]))
         if self.items:
             self.auto.make_automaton()
-        self.lengths = {}
 
     def find(self, raw: str | None) -> list[tuple[int, int, int, int]]:
         text = normal(raw)
         if not text or not self.items:
             return []
-        starts: dict[int, list[int]] = {}  # item: where it would start, for each hit
-        words = self.auto
-        for end, hits in words.iter(text):
-            for at, offset in hits:
-                starts.setdefault(at, []).append(end + 1 - offset - self._length(at, offset))
+        starts: dict[int, list[int]] = {}  # item: where it would start, for each hit that may be one
+        for end, (size, hits) in self.auto.iter(text):
+            start = end + 1 - size
+            for at, piece in hits:
+                item = self.items[at]
+                where = start - item.edges[piece]
+                known = starts.get(at)
+                if known and where == known[-1]:
+                    continue
+                if item.likely(piece, text, start):
+                    starts.setdefault(at, []).append(where)
         found = []
         for at, where in starts.items():
-            item_id, item, k, eq, reverse = self.items[at]
-            m, windows = len(item), []
+            item = self.items[at]
+            m, k, windows = len(item.text), item.k, []
             for s in sorted(set(where)):
                 lo, hi = max(0, s - k), min(len(text), s + m + k)
                 if windows and lo <= windows[-1][1]:
@@ -105,23 +147,16 @@ class Matcher:
             for lo, hi in windows:
                 if hi - lo < m - k:
                     continue
-                at_ = text.find(item, lo, hi)
-                if at_ >= 0:
-                    found.append((item_id, 0, at_, at_ + m))
+                exact = text.find(item.text, lo, hi)
+                if exact >= 0:
+                    found.append((item.id, 0, exact, exact + m))
                     continue
-                distance, end = myers(eq, m, text[lo:hi])
+                distance, end = myers(_columns(item.text), m, text[lo:hi])
                 if distance <= k:
-                    back = myers(reverse, m, text[max(0, lo + end - m - k) : lo + end][::-1], free_start=False)[1]
-                    found.append((item_id, distance, lo + end - back, lo + end))
+                    back = myers(_columns(item.text[::-1]), m, text[max(0, lo + end - m - k) : lo + end][::-1], free_start=False)[1]
+                    found.append((item.id, distance, lo + end - back, lo + end))
         return sorted(found)
 
-    def _length(self, at: int, offset: int) -> int:
-        key = (at, offset)
-        if key not in self.lengths:
-            item, k = self.items[at][1:3]
-            self.lengths[key] = next(len(p) for o, p in pieces(item, k) if o == offset)
-        return self.lengths[key]
-
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
