@@ -52,6 +52,14 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0)).cast("int")
 
 
+def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with what was aggregated of their group (one row a group). A hash as one more key makes both sides of the join
+    exchanges of their own, also where the aggregate is dealt by the keys already: only then can adaptive execution split
+    the partitions of a hot group."""
+    mark = F.hash(*keys)
+    return rows.withColumn("__deal", mark).join(groups.withColumn("__deal", mark), ["__deal", *keys], how).drop("__deal")
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions as configured, read when a plan is made."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fold  # noqa: F401
+from .common import ascii_lower, join_back
 
 #: Chunk sizes in characters, and the content that ends a chunk: a consonant, white space, an early letter.
 LEAST, MOST, CUT = 768, 4096, r"[bcdfgkmp][.,!?]*\s(?=[a-e])"
@@ -68,7 +68,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = recipes(df, id_col, text_col, salt, lowercase)
     rows = rows.groupBy("id", "chars", "recipe", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
     groups = rows.groupBy("chars", "recipe").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    out = rows.join(groups, ["chars", "recipe"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    out = join_back(rows, groups, ["chars", "recipe"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return out.select(
         F.col("id").alias(id_col),
         "keep_id",

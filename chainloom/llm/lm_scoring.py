@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, store
+from .common import join_back, partitions, store
 
 DEPTH, P_MIN, DIVERGENCE_BITS, BLOCK_BYTES, RANGES = 5, 1e-6, 12.0, 16 << 20, 64
 #: Bytes of text whose n-grams are sorted at once.
@@ -324,6 +324,6 @@ def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     known = tokens.groupBy("token").agg(F.sum("n").alias("c"))
     n, kinds = known.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, kinds = n or 0, kinds or 0
-    mine = tokens.select("block", "token").join(known, "token").select("block", "token", "c")
+    mine = join_back(tokens.select("block", "token"), known, ["token"]).select("block", "token", "c")
     scored = rows.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(_score_block(shared, n, kinds, depth), "id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

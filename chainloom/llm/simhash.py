@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, join_back, partitions
 
 CROWD = 1024
 #: Bits of the tree's levels below the band; finer levels prune earlier.
@@ -167,7 +167,7 @@ def links(nodes: DataFrame, most: int = 3, crowd: int = CROWD) -> DataFrame:
     first = first.select("node", "x.*").withColumn("key", F.expr("shiftrightunsigned(t, 64 - lead)"))
 
     def sized(rows, by):
-        return rows.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), by)
+        return join_back(rows, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), by)
 
     by = ["turn", "key"]
     level = sized(first.select("node", "turn", "t", "lead", "key"), by)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, store
+from .common import join_back, partitions, store
 
 LEAST_BYTES, ARCHIVE_BYTES = 1000, 8 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -190,7 +190,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("key"))
     light = rows.where(F.octet_length("payload") >= least).select("id", "key")
     groups = light.groupBy("key").agg(F.max("id").alias("top"), F.min("id").alias("low")).where("top > low").select("key", "top")
-    revisits = light.join(groups, "key").where("id < top").distinct()
+    revisits = join_back(light, groups, ["key"]).where("id < top").distinct()
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     n = max(partitions(pages.sparkSession), -(-total // archive_bytes))
     rows = rows.join(revisits, ["id", "key"], "left").withColumn("archive", F.pmod(F.xxhash64("id", "key"), F.lit(n)).cast("int"))
