@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_back, partitions, store
@@ -193,14 +193,21 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     revisits = join_back(light, groups, ["key"]).where("id < top").distinct()
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     n = max(partitions(pages.sparkSession), -(-total // archive_bytes))
-    rows = rows.join(revisits, ["id", "key"], "left").withColumn("archive", F.pmod(F.xxhash64("id", "key"), F.lit(n)).cast("int"))
 
-    def build(d: pd.DataFrame) -> pd.DataFrame:
+    def dealt(page: str, key: str) -> Column:
+        return F.pmod(F.xxhash64(page, key), F.lit(n)).cast("int").alias("archive")
+
+    def build(d: pd.DataFrame, refers: pd.DataFrame) -> pd.DataFrame:
+        if not len(d):
+            return pd.DataFrame({"path": [], "content": []})
+        top = dict(zip(zip(refers["page"].tolist(), refers["same"], strict=True), refers["top"].tolist(), strict=True))
         d = d.sort_values(["id", "key"])
-        records = [(None if i == _NULL else i, u, bytes(p), s, None if pd.isna(t) else int(t)) for i, u, p, s, t in zip(d["id"].tolist(), d["url"], d["payload"], d["sha1"], d["top"], strict=True)]
+        records = [(None if i == _NULL else i, u, bytes(p), s, top.get((i, k))) for i, u, p, s, k in zip(d["id"].tolist(), d["url"], d["payload"], d["sha1"], d["key"], strict=True)]
         return pd.DataFrame({"path": [f"part-{d['archive'].iloc[0]:06d}.zip"], "content": [build_archive(records)]})
 
-    return rows.select("archive", "id", "url", "payload", "sha1", "key", "top").groupBy("archive").applyInPandas(build, "path string, content binary")
+    payloads = rows.select(dealt("id", "key"), "*").groupBy("archive")
+    refers = revisits.select(F.col("id").alias("page"), F.col("key").alias("same"), F.col("top").alias("top")).select(dealt("page", "same"), "page", "same", "top").groupBy("archive")
+    return payloads.cogroup(refers).applyInPandas(build, "path string, content binary")  # a payload moves once
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
