@@ -1,0 +1,186 @@
+"""SQL surface: rewrites, admission, dialect, exact sums, metadata, results."""
+
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from chainloom.engine import Engine
+from chainloom.errors import EngineError, SyntaxRejected
+from chainloom.functions.keccak import address_topic, event_topic, keccak256
+from chainloom.operators import hexsum
+from chainloom.plans.rewrite import rewrite
+from chainloom.plans.validate import validate
+from chainloom.sources.schema import APPROVAL, DEPOSIT, STORED, TRANSFER, WITHDRAWAL, from_receipts, generated
+
+A, B = "0x" + "aa" * 20, "0x" + "bb" * 20
+
+
+def log(block=1, index=0, address=A, topics=(), data="0x", source=0, tx=0):
+    t = [*topics, None, None, None, None][:4]
+    return (block, f"0x{block:064x}", 1000 + block, f"0x{block * 100 + tx:064x}", tx, index, address, *t, data, (len(data) - 2) // 2, source)
+
+
+def topic(n):
+    return f"0x{n:064x}"
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    rows = [
+        log(100, 0, A, (TRANSFER, topic(1)), "0x0100"),
+        log(100, 1, A, (), "0x02", 1),
+        log(200, 0, B, (TRANSFER, topic(2), topic(3)), "0x" + "ff" * 32, 0, 1),
+        log(201, 0, B, (APPROVAL,), "0x", 1),
+    ]
+    return Engine(spark.createDataFrame(rows, STORED))
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_keccak():
+    assert keccak256(b"").hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    assert event_topic("Transfer(address,address,uint256)") == TRANSFER
+    assert event_topic("Approval(address,address,uint256)") == APPROVAL
+    assert event_topic("Deposit(address,uint256)") == DEPOSIT and event_topic("Withdrawal(address,uint256)") == WITHDRAWAL
+    assert len(keccak256(b"x" * 500)) == 32
+    assert address_topic("0x" + "AB" * 20) == "0x" + "0" * 24 + "ab" * 20 == address_topic("ab" * 20)
+    with pytest.raises(ValueError):
+        address_topic("0x12")
+
+
+def test_rewrites():
+    assert rewrite("-- c\nSELECT  FROM logs", None).split() == ["--", "c", "SELECT", "*", "FROM", "logs"]
+    assert rewrite("SELECT 'LATEST' AS x, latest, t.latest", 7) == "SELECT 'LATEST' AS x, 7, t.latest"
+    assert rewrite("SELECT 'event''x''' , myevent'x'", 7) == "SELECT 'event''x''' , myevent'x'"
+    assert rewrite("SELECT Event'Transfer(address,address,uint256)'", 7) == f"SELECT '{TRANSFER}'"
+    with pytest.raises(SyntaxRejected):
+        rewrite("SELECT address'0x12'", 7)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "INSERT INTO logs VALUES (1)", "DROP TABLE logs", "SELECT 1; SELECT 2", "", "SELECT * INTO x FROM logs", "SELECT * FROM logs FETCH FIRST 1 ROWS ONLY", "SELECT * FROM logs FOR UPDATE", "SELECT * FROM logs TABLESAMPLE (10 PERCENT)",
+        "SELECT address FROM logs GROUP BY address WITH ROLLUP", "SELECT * FROM other", "SELECT * FROM public.other", "SELECT * FROM logs, other", "SELECT * FROM logs JOIN other ON true", "SELECT (SELECT 1 FROM other) AS x", "FROM logs DESC", "SELECT * FROM logs VERSION AS OF 1",
+        "SELECT a FROM logs LATERAL VIEW explode(topics) t AS a", "SELECT * FROM logs CONNECT BY a = b", "SELECT AS STRUCT 1 AS a", "WITH a AS (SELECT 1 AS x), a AS (SELECT 2 AS x) SELECT * FROM a", "WITH a AS (WITH a AS (SELECT 1 AS x) SELECT * FROM a) SELECT * FROM a",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a", "SELECT data:x FROM logs", "SELECT quantile(0.5)(data_len) FROM logs", "SELECT * FROM logs WITH (NOLOCK)", "SELECT * FROM information_schema.views", "SELECT * FROM csv('x')", "SELECT block_number EXCLUDE (x) FROM logs", "SELECT (1", "EXPLAIN SELECT 1",
+        "SELECT " + "(" * 17 + "1" + ")" * 17, "SELECT " + " + ".join("abcd"[i % 4] for i in range(80)) + " FROM logs",
+    ],
+)
+def test_rejected(engine, sql):
+    with pytest.raises(SyntaxRejected):
+        engine.sql(sql)
+
+
+def test_admitted():
+    for sql in ("SELECT EXTRACT(YEAR FROM DATE '2020-01-01') AS y", "SELECT a IS DISTINCT FROM b FROM (VALUES (1, 2)) t(a, b)", "WITH logs AS (SELECT 1 AS x) SELECT * FROM logs", "SELECT * FROM (SELECT * FROM logs) q JOIN public.logs p USING (block_number)", "SELECT " + ", ".join(["1"] * 1000)):
+        validate(sql)
+    with pytest.raises(SyntaxRejected):
+        Engine.sql(object.__new__(Engine), "SELECT '" + "x" * 262_144 + "'")
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT 7 / 2 AS a, 7.0 / 2 AS b, block_number / 3 AS c FROM logs WHERE block_number = 100 AND log_index = 0", [(3, Decimal("3.5"), 33)]),
+        ("SELECT topics[1] AS a, topics[9] AS b, ARRAY[1, NULL] AS c, [5, 6][2] AS d FROM logs WHERE block_number = 201", [(APPROVAL, None, [1, None], 6)]),
+        ("SELECT array_has([1, NULL], 2) AS a, array_has([1], NULL) AS b, array_has([1], 1) AS c", [(False, None, True)]),
+        ("SELECT power(2, 3) AS a, power(2.0, 3) AS b, 5 ^ 3 AS c, {fn ABS(-2)} AS d", [(8, 8.0, 6, 2)]),
+        ("SELECT x FROM (VALUES (1), (NULL), (2)) t(x) ORDER BY x", [(1,), (2,), (None,)]),
+        ("SELECT x FROM (VALUES (1), (NULL), (2)) t(x) ORDER BY x DESC", [(None,), (2,), (1,)]),
+        ("SELECT x, ROW_NUMBER() OVER (ORDER BY x DESC) AS r FROM (VALUES (1), (NULL)) t(x) ORDER BY r", [(None, 1), (1, 2)]),
+        ("SELECT value FROM generate_series(1, 3) ORDER BY value LIMIT 1, 5", [(2,), (3,)]),
+        ("SELECT address, block_number FROM logs QUALIFY ROW_NUMBER() OVER (PARTITION BY address ORDER BY block_number DESC, log_index) = 1 ORDER BY block_number", [(A, 100), (B, 201)]),
+        ("SELECT x, SUM(DISTINCT x) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM (VALUES (1, 5), (2, 5), (3, 6)) t(i, x) ORDER BY i", [(5, 5), (5, 5), (6, 11)]),
+        ('SELECT "block_number" AS "B" FROM logs WHERE BLOCK_NUMBER = 201', [(201,)]),
+        ("SELECT COUNT(*) AS n FROM logs WHERE address = '" + A.upper() + "'", [(0,)]),
+        ("SELECT CAST(5 AS BIGINT UNSIGNED) AS u, gcd(12, 18) AS g, lcm(4, 6) AS l, to_hex(255) AS h, encode(decode('ff00', 'hex'), 'hex') AS e", [(Decimal(5), 6, 12, "ff", "ff00")]),
+        ("SELECT repeat('ab', -1) AS a, string_to_array('a.b', '.') AS b, array_slice([1, 2, 3, 4], 2, 3) AS c, strpos('abc', 'c') AS d", [("", ["a", "b"], [2, 3], 3)]),
+        ("SELECT COUNT(*) AS n FROM logs WHERE block_number > LATEST - 2", [(2,)]),
+        ("SELECT column_name FROM information_schema.columns WHERE ordinal_position = '03'", []),
+        ("SELECT column_name FROM information_schema.columns WHERE ordinal_position IN (1, 3) ORDER BY column_name DESC", [("timestamp",), ("block_number",)]),
+        ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 200) SELECT COUNT(*) AS n FROM r", [(200,)]),
+    ],
+)
+def test_dialect(engine, sql, want):
+    assert rows(engine.sql(sql)) == want
+
+
+def test_bare_from_and_pages(engine):
+    df = engine.sql("FROM logs")
+    assert df.columns == [] and df.count() == 4
+    assert rows(engine.sql("SELECT block_number, log_index FROM logs ORDER BY block_number, log_index LIMIT 3", limit=5, offset=2)) == [(200, 0)]
+    page = engine.query("SELECT block_number AS b FROM logs ORDER BY b", limit=2, offset=2)
+    assert (page.row_count, page.next_offset) == (2, 4) and engine.query("SELECT 1 AS x", limit=0).rows == []
+    assert engine.query("SELECT 1 AS x").next_offset is None and engine.cancel() is False
+
+
+def test_refused_before_running(engine):
+    for sql in ("SELECT block_number, block_number FROM logs LIMIT 0", "SELECT SUM(address) FROM logs WHERE FALSE", "SELECT AVG(data) AS a FROM logs", "SELECT named_struct('a', 1, 'a', 2) AS s", "SELECT map(1, 2) AS m"):
+        with pytest.raises(EngineError):
+            engine.sql(sql)
+    with pytest.raises(AnalysisException):
+        engine.sql("SELECT nothing FROM logs LIMIT 0")
+    for sql in ("SELECT COUNT(*) FROM information_schema.columns", "SELECT column_name FROM information_schema.columns WHERE 1 = 1", "SELECT DISTINCT table_name FROM information_schema.columns", "SELECT upper(table_name) AS x FROM information_schema.tables", "SELECT * EXCLUDE (table_name) FROM information_schema.tables"):
+        with pytest.raises(SyntaxRejected):
+            engine.sql(sql)
+
+
+def test_overflow_is_an_error(engine):
+    with pytest.raises(Exception, match="(?i)overflow|out of range"):
+        engine.sql("SELECT SUM(x) AS s FROM (VALUES (9223372036854775807), (1)) t(x)").collect()
+
+
+def test_json_values(engine):
+    sql = "SELECT CAST('NaN' AS DOUBLE) AS n, decode('0aff', 'hex') AS b, CAST(1.50 AS DECIMAL(10, 2)) AS d, DATE '2024-01-02' AS t, TIMESTAMP '2024-01-02 03:04:05' AS ts, named_struct('x', [1, NULL]) AS s, CAST(7 AS BIGINT UNSIGNED) AS u, NULL AS z, map('k', true) AS m"
+    assert engine.query(sql).rows == [{"n": None, "b": "0aff", "d": "1.50", "t": "2024-01-02", "ts": "2024-01-02T03:04:05", "s": {"x": [1, None]}, "u": 7, "z": None, "m": {"k": True}}]
+
+
+def test_exact_sums(engine):
+    total = 256 + 2 + 2**256 - 1
+    assert rows(engine.sql("SELECT SUM(data) FROM logs")) == [(str(total),)] and engine.sql("SELECT SUM(data) FROM logs").columns == ["sum"]
+    assert rows(engine.sql("SELECT address, SUM(data) AS s FROM logs GROUP BY address HAVING s > 1000 ORDER BY s")) == [(B, str(2**256 - 1))]
+    assert rows(engine.sql("SELECT topic0, SUM(data) AS s FROM logs GROUP BY topic0 ORDER BY s DESC, topic0 LIMIT 2")) == [(TRANSFER, str(2**256 - 1 + 256)), (None, "2")]
+    assert rows(engine.sql("SELECT SUM(data) AS s FROM logs WHERE block_number > 999")) == [(None,)]
+    assert rows(engine.sql("SELECT SUM(CASE WHEN source = 1 THEN data ELSE '-3' END) - SUM(data::NUMERIC) AS d, SUM(CASE WHEN source = 9 THEN data END) + SUM(data) AS n, SUM(-2) AS k FROM logs")) == [(str(2 - 6 - total), None, "-8")]
+    assert rows(engine.sql("SELECT address, SUM(data) - SUM(CASE WHEN source = 0 THEN data ELSE 1 END) AS d FROM logs GROUP BY address ORDER BY d")) == [(B, "-1"), (A, "1")]
+    with pytest.raises(SyntaxRejected):
+        engine.sql("SELECT SUM(data), COUNT(*) AS n FROM logs")
+
+
+@pytest.mark.parametrize("most", [None, 32])
+def test_exact_sums_against_integers(spark, most):
+    rng = random.Random(2)
+    data = [(rng.choice([None, "a", "b"]), rng.choice(["0x", None, "0x" + rng.randbytes(rng.randrange(1, 33 if most else 100)).hex()]), rng.choice([None, -5, 7])) for _ in range(400)]
+    df = spark.createDataFrame(data, "k string, d string, n int")
+    got = {r.k: r.s for r in hexsum.sums(df, ["k"], {"s": (F.col("d"), F.col("n"))}, most).collect()}
+    want = {k: str(sum(int(d[2:] or "0", 16) if d else 0 for x, d, _ in data if x == k) + sum(n or 0 for x, _, n in data if x == k)) for k in (None, "a", "b")}
+    assert got == want
+    alone = hexsum.sums(df.where("d IS NULL AND n IS NULL"), ["k"], {"s": (F.col("d"), F.col("n"))}, most).collect()
+    assert {r.s for r in alone} == {None}
+
+
+def test_order_of_totals(spark):
+    values = ["-100", "-9", "-10", "0", "9", "10", "100", None, "123456789012345678901234567890"]
+    df = spark.createDataFrame([(v,) for v in random.sample(values, len(values))], "t string")
+    up = sorted([v for v in values if v], key=int)
+    assert [r.t for r in df.orderBy(*hexsum.order_key(F.col("t"))).collect()] == [*up, None]
+    assert [r.t for r in df.orderBy(*hexsum.order_key(F.col("t"), True)).collect()] == [None, *up[::-1]]
+
+
+def test_receipts_and_generator(spark):
+    entry = lambda n: ("0xAA", [topic(i) for i in range(n)], "0xABcd")
+    blocks = [(5, "0xb", 9, [("0xt1", [entry(2), entry(0)]), ("0xt2", []), ("0xt3", [entry(4)])])]
+    kind = "block_number long, block_hash string, timestamp long, transactions array<struct<hash: string, logs: array<struct<address: string, topics: array<string>, data: string>>>>"
+    got = [(r.tx_hash, r.tx_index, r.log_index, r.address, r.topic1, r.topic3, r.data, r.data_len) for r in from_receipts(spark.createDataFrame(blocks, kind)).collect()]
+    assert got == [("0xt1", 0, 0, "0xaa", topic(1), None, "0xabcd", 2), ("0xt1", 0, 1, "0xaa", None, None, "0xabcd", 2), ("0xt3", 2, 2, "0xaa", topic(1), topic(3), "0xabcd", 2)]
+    with pytest.raises(Exception, match="four topics"):
+        from_receipts(spark.createDataFrame([(5, "0xb", 9, [("0xt1", [entry(5)])])], kind)).collect()
+    for profile in ("dense", "sparse"):
+        df = generated(spark, 700, profile)
+        assert df.count() == 700 and df.where(f"topic0 = '{TRANSFER}'").count() == 560 and df.where("(length(data) - 2) div 2 <> data_len").count() == 0
