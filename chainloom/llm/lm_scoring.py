@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_back, partitions, store
+from .common import partitions, store
 
 DEPTH, P_MIN, DIVERGENCE_BITS, BLOCK_BYTES, RANGES = 5, 1e-6, 12.0, 16 << 20, 64
 #: Bytes of text whose n-grams are sorted at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 END = 10
 LONG_TOKEN = 40
 
@@ -73,6 +73,44 @@ def stream(parts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarr
     return g[real], size
 
 
+def text_scores(tree: Tree, parts: list[bytes], depth: int) -> np.ndarray:
+    """log10 probability of each text.
+
+    Each distinct n-gram is looked up once. To find them with one plain sort, bytes become 7-bit codes (where no more than
+    128 kinds occur) and an n-gram shares its word with its position."""
+    pad = bytes([END]) * depth
+    s = np.frombuffer(b"".join(pad + p + bytes([END]) for p in parts), np.uint8)
+    size = np.array([len(p) + 1 for p in parts], np.int64)
+    ends = np.cumsum(size + depth)
+    used = np.flatnonzero(np.bincount(s, minlength=256))
+    bits = 64 - 7 * (depth + 1)
+    if len(used) > 128 or bits < 1 or len(s) >= 1 << bits:
+        grams, _ = stream(parts, depth)
+        keys, back = np.unique(grams, return_inverse=True)
+        return np.add.reduceat(tree.log10(keys)[back], np.cumsum(size) - size)
+    code = np.zeros(256, np.uint64)
+    code[used] = np.arange(len(used), dtype=np.uint64)
+    t = code[s]
+    c = np.zeros(len(s) - depth, np.uint64)
+    for i in range(depth + 1):
+        c <<= np.uint64(7)
+        c |= t[i : len(s) - depth + i]
+    del t
+    c <<= np.uint64(bits)
+    c |= np.arange(len(c), dtype=np.uint64)
+    c = np.concatenate([c[e - n - depth : e - depth] for e, n in zip(ends.tolist(), size.tolist(), strict=True)])  # symbols only
+    c.sort()
+    at = (c & np.uint64((1 << bits) - 1)).astype(np.int64)
+    c >>= np.uint64(bits)
+    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    grams = np.zeros(len(first), np.uint64)
+    for i in range(depth + 1):
+        grams = (grams << np.uint64(8)) | s[at[first] + i]
+    value = np.zeros(len(s))
+    value[at] = np.repeat(tree.log10(grams), np.diff(np.append(first, len(c))))
+    return np.add.reduceat(value, ends - size - depth)
+
+
 def count(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and their total counts."""
     if n is None:
@@ -116,18 +154,23 @@ class Tree:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 P(symbol | longest retained suffix of its context) of n-grams."""
-        p = self.zero[(grams & np.uint64(255)).astype(np.int64)]
-        alive = np.arange(len(grams))
-        for k, (ctx, weight, keys, prob) in enumerate(self.orders, 1):
-            if not len(ctx) or not len(alive):
+        p = np.ones(len(grams))
+        left = np.arange(len(grams))  # from the longest context down: found symbols are done, others pay the context's weight
+        for k in range(len(self.orders), 0, -1):
+            ctx, weight, keys, prob = self.orders[k - 1]
+            if not len(left):
                 break
-            g = grams[alive] & np.uint64((1 << 8 * (k + 1)) - 1)
-            c = g >> np.uint64(8)
+            if not len(ctx):
+                continue
+            g = grams[left] & np.uint64((1 << 8 * (k + 1)) - 1)
+            j = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            on = keys[j] == g
+            p[left[on]] *= prob[j[on]]
+            left, c = left[~on], g[~on] >> np.uint64(8)
             i = np.minimum(np.searchsorted(ctx, c), len(ctx) - 1)
             on = ctx[i] == c
-            alive, g, i = alive[on], g[on], i[on]
-            j = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            p[alive] = np.where(keys[j] == g, prob[j], weight[i] * p[alive])
+            p[left[on]] *= weight[i[on]]
+        p[left] *= self.zero[(grams[left] & np.uint64(255)).astype(np.int64)]
         return np.log10(p)
 
 
@@ -278,9 +321,7 @@ def _score_block(tree, n_tokens: int, kinds: int, depth: int):
         def flush() -> None:
             nonlocal held, size
             if held:
-                grams, per = stream(held, depth)
-                keys, back = np.unique(grams, return_inverse=True)
-                scores.append(np.add.reduceat(tree.value.log10(keys)[back], np.cumsum(per) - per))
+                scores.append(text_scores(tree.value, held, depth))
                 held, size = [], 0
 
         for doc, learn, line in _documents(d["blob"]):
@@ -324,6 +365,7 @@ def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     known = tokens.groupBy("token").agg(F.sum("n").alias("c"))
     n, kinds = known.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, kinds = n or 0, kinds or 0
-    mine = join_back(tokens.select("block", "token"), known, ["token"]).select("block", "token", "c")
+    # a word has one row a block at most, so no word is hot here, and the counts needn't move again for the join
+    mine = tokens.select("block", "token").join(known, "token").select("block", "token", "c")
     scored = rows.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(_score_block(shared, n, kinds, depth), "id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

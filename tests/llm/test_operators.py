@@ -437,3 +437,12 @@ def test_stream_matches_a_plain_loop():
         s = b"\n\n\n" + t + b"\n"
         want += [int.from_bytes(s[i - 3 : i + 1], "big") for i in range(3, len(s))]
     assert grams.tolist() == want and size.tolist() == [5, 1, 2]
+
+
+@pytest.mark.parametrize("texts", [[b"ab c", b"", b"d", b"ab c ab"], [bytes(range(128, 256)) + b"abcdefghij", b"xy"], [b"a" * 3000]])
+def test_text_scores(texts):
+    tree = lm_scoring.grow(lm_scoring.lower_orders(*lm_scoring.count(lm_scoring.stream(texts * 5)[0]), lm_scoring.DEPTH), bits=1.0)
+    want = []
+    for t in texts:
+        want.append(tree.log10(lm_scoring.stream([t])[0]).sum())
+    assert lm_scoring.text_scores(tree, texts, lm_scoring.DEPTH) == pytest.approx(want)
