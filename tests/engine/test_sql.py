@@ -102,6 +102,10 @@ def test_admitted():
         ("SELECT CAST(5 AS BIGINT UNSIGNED) AS u, gcd(12, 18) AS g, lcm(4, 6) AS l, to_hex(255) AS h, encode(decode('ff00', 'hex'), 'hex') AS e", [(Decimal(5), 6, 12, "ff", "ff00")]),
         ("SELECT repeat('ab', -1) AS a, string_to_array('a.b', '.') AS b, array_slice([1, 2, 3, 4], 2, 3) AS c, strpos('abc', 'c') AS d", [("", ["a", "b"], [2, 3], 3)]),
         ("SELECT COUNT(*) AS n FROM logs WHERE block_number > LATEST - 2", [(2,)]),
+        ("SELECT (7 + 1) / 3 AS a, SUM(block_number) / 2 AS b, AVG(data_len) / 1 AS c FROM logs", [(2, 300, 8.75)]),
+        ("SELECT 'abc' SIMILAR TO 'a%' AS a, 'abc' ~ 'B' AS b, 'abc' ~* 'B' AS c, 'abc' !~ 'z' AS d", [(True, False, True, True)]),
+        ("SELECT ARRAY_AGG(x ORDER BY x DESC) AS a, STRING_AGG(s, '-' ORDER BY x) AS b FROM (VALUES (1, 'a'), (3, 'c'), (2, 'b')) t(x, s)", [([3, 2, 1], "a-b-c")]),
+        ("SELECT CAST(date_bin(INTERVAL '15' MINUTE, TIMESTAMP '2020-01-02 03:04:05') AS STRING) AS a", [("2020-01-02 03:00:00",)]),
         ("SELECT column_name FROM information_schema.columns WHERE ordinal_position = '03'", []),
         ("SELECT column_name FROM information_schema.columns WHERE ordinal_position IN (1, 3) ORDER BY column_name DESC", [("timestamp",), ("block_number",)]),
         ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 200) SELECT COUNT(*) AS n FROM r", [(200,)]),
