@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), f"chainloom-checkpoints-{os.getuid()}")
     spark.sparkContext.setCheckpointDir(own)
