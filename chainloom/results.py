@@ -30,7 +30,7 @@ def check_columns(df: DataFrame) -> None:
             if not isinstance(kind.keyType, T.StringType):
                 raise EngineError("map keys must be text")
             visit(kind.valueType)
-        elif not isinstance(kind, (T.NullType, T.BooleanType, T.NumericType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        elif not isinstance(kind, (T.NullType, T.BooleanType, T.NumericType, T.StringType, T.BinaryType, T.DateType, T.TimeType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
             raise EngineError(f"{kind.simpleString()} has no JSON form")
 
     visit(df.schema)
@@ -53,7 +53,7 @@ def json_value(value, kind: T.DataType):
         return format(value, "f")
     if isinstance(value, (bytes, bytearray)):
         return bytes(value).hex()
-    if isinstance(value, (dt.datetime, dt.date)):
+    if isinstance(value, (dt.datetime, dt.date, dt.time)):
         return value.isoformat()
     if isinstance(value, dt.timedelta):
         return f"PT{value.total_seconds():g}S"
