@@ -260,7 +260,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("node")))
     roots = components(links(classes.where("node IS NOT NULL"), most, crowd))
     known = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    out = rows.join(known, "fp")
+    out = join_back(rows, known, ["fp"])  # a hot fingerprint's rows are split
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
