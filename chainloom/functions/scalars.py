@@ -182,12 +182,12 @@ def _coded(hexed: str, based: str):
 EXPRESSIONS = {
     # text
     ("to_hex", 1): _args("lower(hex({0}))"), ("left", 2): _args("(CASE WHEN {1} < 0 THEN substring({0}, 1, length({0}) + {1}) ELSE left({0}, {1}) END)"), ("right", 2): _args("(CASE WHEN {1} < 0 THEN substring({0}, 1 - {1}) ELSE right({0}, {1}) END)"),
-    ("ltrim", 2): _args("trim(LEADING {1} FROM {0})"), ("rtrim", 2): _args("trim(TRAILING {1} FROM {0})"), ("trim", 2): _args("trim(BOTH {1} FROM {0})"),
+    ("repeat", 2): _args("(CASE WHEN {1} IS NULL THEN NULL ELSE repeat({0}, CAST(least(greatest({1}, 0), 2147483647) AS INT)) END)"), ("ltrim", 2): _args("trim(LEADING {1} FROM {0})"), ("rtrim", 2): _args("trim(TRAILING {1} FROM {0})"), ("trim", 2): _args("trim(BOTH {1} FROM {0})"),
     ("regexp_replace", 3): _regexp_replace, ("regexp_replace", 4): _regexp_replace, ("regexp_like", 3): _flagged("regexp_like({0}, {p})"), ("regexp_match", 3): _flagged("regexp_extract_all({0}, {p})"),
     ("encode", 2): _coded("lower(hex({0}))", "trim(TRAILING '=' FROM base64({0}))"), ("decode", 2): _coded("unhex({0})", "unbase64({0})"), ("digest", 2): _digest,
     ("sha224", 1): _args("unhex(sha2({0}, 224))"), ("sha256", 1): _args("unhex(sha2({0}, 256))"), ("sha384", 1): _args("unhex(sha2({0}, 384))"), ("sha512", 1): _args("unhex(sha2({0}, 512))"),
     # numbers
-    ("iszero", 1): _args("({0} = 0)"), ("log", 1): _args("log10({0})"), ("gcd", 2): lambda a: _gcd(*a), ("lcm", 2): lambda a: f"(CASE WHEN {a[0]} = 0 OR {a[1]} = 0 THEN 0 ELSE abs({a[0]} div {_gcd(*a)} * {a[1]}) END)",
+    ("ceil", 1): _args("CAST(ceil({0}) AS DOUBLE)"), ("floor", 1): _args("CAST(floor({0}) AS DOUBLE)"), ("iszero", 1): _args("({0} = 0)"), ("log", 1): _args("log10({0})"), ("gcd", 2): lambda a: _gcd(*a), ("lcm", 2): lambda a: f"(CASE WHEN {a[0]} = 0 OR {a[1]} = 0 THEN 0 ELSE abs({a[0]} div {_gcd(*a)} * {a[1]}) END)",
     ("trunc", 1): _args("(sign({0}) * floor(abs({0})))"), ("trunc", 2): _args("(sign({0}) * floor(abs({0}) * power(10, {1})) / power(10, {1}))"),
     ("approx_median", 1): _args("percentile_approx({0}, 0.5)"), ("approx_percentile_cont", 2): _args("percentile_approx({0}, {1})"), ("approx_percentile_cont", 3): _args("percentile_approx({0}, {1}, {2})"), ("approx_percentile_cont_with_weight", 3): _args("percentile({0}, {2}, {1})"),
     # dates

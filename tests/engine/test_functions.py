@@ -206,6 +206,26 @@ SELECT extract(second from TIMESTAMP '2024-01-01 00:00:05.5') AS v => 5
 SELECT named_struct('a', [1,2])['a'][1] AS v => 1
 SELECT [5,6,7,8][2:] AS v => [6, 7, 8]
 SELECT date_part('epoch', TIMESTAMP '1970-01-02 00:00:00') AS v => 86400.0
+SELECT 2147483647 + 1 AS v => 2147483648
+SELECT 100000 * 100000 AS v => 10000000000
+SELECT 7.0/2 AS v => 3.5
+SELECT 1.5 AS v => 1.5
+SELECT .5 AS v => 0.5
+SELECT CEIL(1.2) AS v => 2.0
+SELECT floor(-1.2) AS v => -2.0
+SELECT ROUND(2.567,2) AS v => 2.57
+SELECT CAST(1.50 AS DECIMAL(10,2)) AS v => 1.50
+SELECT CAST('0.9' AS DECIMAL(38,38)) AS v => 0.90000000000000000000000000000000000000
+SELECT repeat('', 9223372036854775807) AS v => 
+SELECT 18446744073709551615 AS v => 18446744073709551615
+SELECT to_timestamp_seconds(1700000000) AS v => 2023-11-14 22:13:20
+SELECT l.x FROM (SELECT 1 AS k) a, LATERAL (SELECT a.k + 1 AS x) l => 2
+SELECT l.x FROM (SELECT 1 AS k) a CROSS JOIN LATERAL (SELECT a.k + 1 AS x) l => 2
+SELECT 18000000 / 7 AS v => 2571428
+SELECT power(2.0, 3) AS v => 8.0
+SELECT power(100000, 2) AS v => 10000000000
+SELECT to_hex(305419896) AS v => 12345678
+SELECT [100000, 2][1] AS v => 100000
 """
 
 A = "0x" + "aa" * 20
@@ -258,3 +278,10 @@ def test_limits_and_replace(engine):
     row = engine.sql("SELECT * REPLACE (block_number * 2 AS block_number) FROM logs ORDER BY log_index, block_number LIMIT 1").first()
     assert row["block_number"] == 200 and row["address"] == A
     assert engine.sql("SELECT block_number AS text, log_index AS numeric FROM logs LIMIT 1").columns == ["text", "numeric"]
+
+
+def test_default_names(engine):
+    assert engine.sql("SELECT COUNT(*) FROM logs").columns == ["count"]
+    assert engine.sql("SELECT source, COUNT(1) FROM logs GROUP BY source ORDER BY source").columns == ["source", "count"]
+    assert engine.sql("SELECT COUNT(*), MAX(block_number) FROM logs WHERE source = 0").columns == ["count(*)", "max(logs.block_number)"]
+    assert engine.sql("SELECT address, COUNT(*) FROM logs GROUP BY address HAVING COUNT(*) > 1 ORDER BY COUNT(*) DESC LIMIT 3").collect()[0]["count(*)"] == 6
