@@ -73,8 +73,8 @@ def _sorted(a: list[str]) -> str:
 
 
 def _is_array(x: str) -> bool:
-    """Whether an argument is plainly an array: a literal, or what an array function gives."""
-    return x.lstrip("(").startswith(("array", "slice(", "filter(", "transform(", "sequence(", "map_keys", "map_values"))
+    """Whether an argument is plainly an array: the column topics, a literal, or what an array function gives."""
+    return x.split(".")[-1].strip('"') == "topics" or x.lstrip("(").startswith(("array", "slice(", "filter(", "transform(", "sequence(", "map_keys", "map_values"))
 
 
 def _concat(a: list[str]) -> str | None:

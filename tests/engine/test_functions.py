@@ -280,6 +280,10 @@ def test_limits_and_replace(engine):
     assert engine.sql("SELECT block_number AS text, log_index AS numeric FROM logs LIMIT 1").columns == ["text", "numeric"]
 
 
+def test_concat_of_topics(engine):
+    assert value(engine, "SELECT concat(l.topics, topics) AS v FROM logs l WHERE block_number = 100") == ["0x01", "0x01"]
+
+
 def test_default_names(engine):
     assert engine.sql("SELECT COUNT(*) FROM logs").columns == ["count"]
     assert engine.sql("SELECT source, COUNT(1) FROM logs GROUP BY source ORDER BY source").columns == ["source", "count"]
