@@ -10,7 +10,8 @@ that. So a hit is first verified on two pieces, then on four, and few hits get a
 Only the items travel: in blocks of at most `block_chars` characters, one scan of the documents a block,
 so what is broadcast is bounded whatever the benchmark's size. Texts are never shuffled.
 
-Defined results: null or blank texts and items match nothing; repeated items and rows each give their matches.
+Defined results: null or blank texts and items match nothing; repeated items and rows each give their matches;
+matches of one item in one text don't overlap.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ def _columns(pattern: str) -> dict[str, int]:
     return eq
 
 
-def myers(eq: dict[str, int], m: int, text: str, free_start: bool = True) -> tuple[int, int]:
-    """Least edit distance of the pattern to a part of text, and where the first such part ends (exclusive)."""
+def myers(eq: dict[str, int], m: int, text: str, free_start: bool = True, enough: int = -1) -> tuple[int, int]:
+    """Least edit distance of the pattern to a part of text, and where the first such part ends (exclusive);
+    reads no further than a part within `enough` edits."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score, best, end = full, 0, m, m, 0
     for j, c in enumerate(text):
@@ -57,6 +59,8 @@ def myers(eq: dict[str, int], m: int, text: str, free_start: bool = True) -> tup
             score -= 1
             if score < best:
                 best, end = score, j + 1
+                if best <= enough:
+                    break
         plus = plus << 1 if free_start else plus << 1 | 1
         up, down = ((minus << 1) | ~(x | plus)) & full, plus & x & full
     return best, end
@@ -96,6 +100,34 @@ class _Item:
                 return False
         return True
 
+    def occurrences(self, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """(distance, start, end) of all matches in text[lo:hi] that don't overlap: the unchanged ones, and between them the
+        edited ones from left to right."""
+        m = len(self.text)
+        while True:
+            exact = text.find(self.text, lo, hi)
+            yield from self._edited(text, lo, hi if exact < 0 else exact)
+            if exact < 0:
+                return
+            yield 0, exact, exact + m
+            lo = exact + m
+
+    def _edited(self, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        m, k = len(self.text), self.k
+        while k and hi - lo >= m - k:
+            if (0, k + 1) not in self.columns:
+                self.columns[0, k + 1] = _columns(self.text)
+            eq = self.columns[0, k + 1]
+            distance, end = myers(eq, m, text[lo:hi], enough=k)
+            if distance > k:
+                return
+            # ends of one match that keep to k edits lie at most 2k apart: the best of them
+            distance, end = myers(eq, m, text[lo : min(hi, lo + end + 2 * k)])
+            end += lo
+            back = myers(_columns(self.text[::-1]), m, text[max(lo, end - m - k) : end][::-1], free_start=False)[1]
+            yield distance, end - back, end
+            lo = end
+
 
 class Matcher:
     """Finds the items of a block in texts."""
@@ -145,16 +177,7 @@ class Matcher:
                 else:
                     windows.append([lo, hi])
             for lo, hi in windows:
-                if hi - lo < m - k:
-                    continue
-                exact = text.find(item.text, lo, hi)
-                if exact >= 0:
-                    found.append((item.id, 0, exact, exact + m))
-                    continue
-                distance, end = myers(_columns(item.text), m, text[lo:hi])
-                if distance <= k:
-                    back = myers(_columns(item.text[::-1]), m, text[max(0, lo + end - m - k) : lo + end][::-1], free_start=False)[1]
-                    found.append((item.id, distance, lo + end - back, lo + end))
+                found.extend((item.id, *x) for x in item.occurrences(text, lo, hi))
         return sorted(found)
 
 

@@ -217,6 +217,21 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {d for d, _ in want}
 
 
+def test_adjacent_occurrences(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    edited = item.replace("brown", "brwn").replace("lazy", "lzzy")
+    docs = [" ".join([item] * 7), " ".join([edited] * 5), f"start {edited} {item} {item} x {edited} end", item, "ab" * 50]
+    items = spark.createDataFrame([(1, item), (2, "ab" * 10)], "item_id long, text string")
+    rows = sorted((r.doc_id, r.start, r.end, r.distance, r.item_id) for r in decontaminate.matches(frame(spark, docs), items).collect())
+    by = collections.defaultdict(list)
+    for doc, start, end, distance, item_id in rows:
+        by[doc].append(distance)
+        part, whole = decontaminate.normal(docs[doc])[start:end], {1: item, 2: "ab" * 10}[item_id]
+        assert levenshtein_in(whole, part) == distance and (distance or part == whole)
+    assert by == {0: [0] * 7, 1: [2] * 5, 2: [2, 0, 0, 2], 3: [0], 4: [0] * 5}
+    assert all(a[2] <= b[1] for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0])
+
+
 # --- packing
 
 
