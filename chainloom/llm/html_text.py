@@ -2,10 +2,10 @@
 
 Markup is stripped in one pass that turns a page into lines: one per block of text (white space collapsed, character
 references decoded), with empty lines where containers end and where boilerplate elements stood (scripts, styles,
-menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, hidden parts). Text lengths are
-summed over a sliding window of lines. The text is what lies between surge points (a window rises to `surge`
+menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, hidden parts), unless the text goes on
+in the same container behind these. Text lengths are summed over a sliding window of lines. The text is what lies between surge points (a window rises to `surge`
 characters) and the next dive point (a window falls to nothing), short lines inside included. If no window
-surges, the page's densest stretch is its text. Where a page marks its article, only lines inside it count.
+surges, the page's densest stretch is its text. Where a page marks its article, its lines, all of them, are the text.
 
 One narrow pass over whole pages. Defined results: null, empty or text-free pages give an empty text; broken or unclosed
 markup ends with its container; line breaks are white space, two in a row end a block.
@@ -68,6 +68,8 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
 def lines(page: str | None) -> list[tuple[str, bool]]:
     """The page's lines: text ('' for a gap) and whether it lies in a marked article."""
     out: list[tuple[str, bool]] = []
+    within: list[int | None] = []  # of each line of `out`, its container; None for a gap where boilerplate stood, -1 for others
+    holders, made = [0], 0  # open containers
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are boilerplate
     skip = inside = breaks = 0
     text: list[str] = []
@@ -80,6 +82,11 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             text.clear()
             if line:
                 out.append((line, inside > 0))
+                within.append(holders[-1])
+
+    def gap() -> None:
+        out.extend([("", False)] * WINDOW)
+        within.extend([None] * WINDOW)
 
     def pop() -> None:
         nonlocal skip, inside
@@ -87,13 +94,16 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if tag in _BLOCK and not skip:
             flush()
         inside -= tag in ("article", "main") and not bad
+        if tag in _HOLDS:
+            holders.pop()
         if bad:
             skip -= 1
             if not skip:
                 text.clear()
-                out.extend([("", False)] * WINDOW)
+                gap()
         elif tag in _HOLDS and not skip:
             out.append(("", False))
+            within.append(-1)
 
     page, at, end = page or "", 0, len(page or "")
     while at < end:
@@ -146,14 +156,27 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if bad:
             if not skip:
                 flush()
-                out.extend([("", False)] * WINDOW)
+                gap()
             skip += 1
         inside += tag in ("article", "main") and not bad
+        if tag in _HOLDS:
+            made += 1
+            holders.append(made)
         stack.append((tag, bad))
     while stack:
         pop()
     flush()
-    return out
+    kept: list[tuple[str, bool]] = []
+    last, gaps = None, 0  # the container before a run of boilerplate gaps, and the run's length
+    for line, where in zip(out, within, strict=True):
+        if where is None:
+            gaps += 1
+        else:
+            if gaps and where == last and where >= 0:
+                del kept[-gaps:]
+            last, gaps = where, 0
+        kept.append(line)
+    return kept
 
 
 def spans(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -177,8 +200,9 @@ def spans(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     rows = lines(page)
-    marked = any(inside for text, inside in rows if text)
-    lengths = [len(text) if inside or not marked else 0 for text, inside in rows]
+    if any(inside for text, inside in rows if text):
+        return "\n".join(text for text, inside in rows if inside and text)
+    lengths = [len(text) for text, _ in rows]
     return "\n".join(rows[i][0] for a, b in spans(lengths, window, surge) for i in range(a, b) if lengths[i])
 
 

@@ -342,6 +342,14 @@ def test_html():
     assert html_text.extract("<div " + "a=\"b\" " * 2000 + "<<<>>> <p>text</p")
 
 
+def test_html_keeps_short_lines_of_the_article():
+    article = f'<h1>Short title</h1><div class="ad">x</div><p>{"word " * 60}</p><aside>y</aside><p>Brief closing sentence.</p>'
+    want = "Short title\n" + ("word " * 60).strip() + "\nBrief closing sentence."
+    assert html_text.extract(f"<article>{article}</article>") == want
+    assert html_text.extract(f'<body><div>Top</div><main>{article}<div><p>Note.</p></div></main><div>{"noise " * 40}</div></body>') == want + "\nNote."
+    assert html_text.extract(f'<body><nav>n</nav><div id="content">{article}</div><nav>n</nav><p>Imprint</p></body>') == want
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     rows = {r.page_id: r for r in html_text.extract_text(df).collect()}
