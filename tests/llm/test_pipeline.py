@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chainloom.llm import decontaminate, packing, quality, simhash
+from chainloom.llm import decontaminate, jaccard, packing, quality, simhash
 from chainloom.llm.common import fold, table
 
 
@@ -52,3 +52,29 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in docs_out.collect()} == set(left)
     rows = corpus_pipeline.run(spark, path).collect()
     assert {r.doc_id for r in rows} == set(left) and all(r.n_tokens <= packing.MAX_LEN for r in rows)
+
+
+@pytest.mark.parametrize("crowd", [4, 1024])
+def test_near_stage_is_jaccard(spark, crowd):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    docs = []
+    for _ in range(12):  # families of copies with more and more words changed, about the threshold
+        now = rng.choices(vocab, k=rng.randrange(60, 160))
+        for _ in range(8):
+            docs.append(" ".join(now))
+            now = list(now)
+            for _ in range(rng.randrange(1, 4)):
+                now[rng.randrange(len(now))] = rng.choice(vocab)
+    docs += ["", None, "a b", "A  b", "a b c"]
+    sets = [set(zip(*(w[i:] for i in range(5)))) if len(w) > 4 else {tuple(w)} for w in ((t or "").lower().split() for t in docs)]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = [b if r == a else r for r in root]
+    df = spark.createDataFrame([*enumerate(docs), (None, docs[0])], "doc_id long, text string")
+    assert {r.id: r.root for r in jaccard.roots(df, crowd=crowd).collect()} == dict(enumerate(root))
+    kept = [r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([*{*root}, None], key=str) and len(kept) < 0.8 * len(docs)
