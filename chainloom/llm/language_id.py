@@ -3,8 +3,8 @@
 Character 1- to 3-grams of the lower-cased text are hashed to 2**BITS features with sublinear term counts;
 document frequencies are counted over all learning documents (one bounded vector a partition). Weights are learned
 by follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties: most weights are exactly zero) on a
-bounded sample of `max_train_rows` rows, then one temperature is fitted on a held-back fifth of the sample so that
-scores are probabilities. Prediction is one narrow pass over whole texts.
+bounded sample of `max_train_rows` rows, with about LEAST_ROWS of each language at least (all, if it has no more), then one
+temperature is fitted on a held-back fifth of each language's sample (rounded down) so that scores are probabilities. Prediction is one narrow pass over whole texts.
 
 Defined results: texts that are null or have no letter get `und` with score 0; with nothing to learn from all get `und`.
 """
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS, MOST_N, MAX_TRAIN_ROWS, EPOCHS = 15, 3, 4000, 3
+#: Rows of each language in the sample at least, four fifths of them for training.
+LEAST_ROWS = 50
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Characters hashed at a time.
@@ -133,14 +135,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     total = df[-1]
     idf = np.log((1 + total) / (1 + df[:-1])) + 1
     share = min(1.0, max_train_rows / max(1.0, total))
-    chosen = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000)) < int(share * 1_000_000) if share < 1 else F.lit(True)
+    kinds = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.select("lang", F.greatest(F.lit(int(share * 1_000_000)), F.ceil(F.lit(LEAST_ROWS * 1_000_000) / F.col("n"))).alias("below"))
+    chosen = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000)) < F.col("below")
 
     @F.pandas_udf("struct<k:array<int>,n:array<int>>")
     def sparse(s: pd.Series) -> pd.DataFrame:
         both = [counts(t) for t in s]
         return pd.DataFrame({"k": [k.astype(np.int32) for k, _ in both], "n": [n.astype(np.int32) for _, n in both]})
 
-    sample = rows.where(chosen).select("id", "lang", sparse("text").alias("s")).select("id", "lang", "s.k", "s.n").orderBy("id", "lang").collect()
+    sample = rows.join(F.broadcast(kinds), "lang").where(chosen).select("id", "lang", sparse("text").alias("s")).select("id", "lang", "s.k", "s.n").orderBy("id", "lang").collect()
     langs = sorted({r["lang"] for r in sample})
     if not langs:
         return Model([], idf, np.zeros((0, width + 1)))
@@ -149,8 +153,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         on = np.array(r["k"], np.int64)
         v = (1 + np.log(np.array(r["n"], np.float64))) * idf[on]
         data.append((on, v / (np.sqrt((v * v).sum()) or 1.0), langs.index(r["lang"])))
-    back = data[::5] if len(data) >= 50 else []
-    model = Model(langs, idf, ftrl([x for i, x in enumerate(data) if i % 5 or not back], len(langs), width))
+    seen, train_rows, back = [0] * len(langs), [], []
+    for x in data:
+        seen[x[2]] += 1
+        (back if len(data) >= 50 and seen[x[2]] % 5 == 0 else train_rows).append(x)
+    model = Model(langs, idf, ftrl(train_rows, len(langs), width))
     if back:
         model.temperature = calibrate(np.array([model.logits(on, v) for on, v, _ in back]), np.array([y for *_, y in back]))
     return model

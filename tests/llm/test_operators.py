@@ -312,6 +312,12 @@ def test_language(spark):
     assert model.predict("123 456 !?")[0] == "und" and model.predict(LONG)[0] in vocab
 
 
+def test_language_rare(spark):
+    rows = [(i, "the water and house of this " * 3, "en") for i in range(3000)] + [(5000 + i, "der wasser und haus nicht welche " * 3, "de") for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train_rows=60)
+    assert model.langs == ["de", "en"] and model.predict("und nicht der haus")[0] == "de" and model.predict("this house and water")[0] == "en"
+
+
 def test_language_counts_in_parts(monkeypatch):
     text = "Ein langer Text, 12 mal gezählt. " * 50
     whole = language_id.counts(text)
