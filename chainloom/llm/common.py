@@ -6,7 +6,7 @@ import os
 import string
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the text contracts: [\x20\x09-\x0D].
@@ -52,6 +52,36 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0)).cast("int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores (a small table, or one of a single row group), dealt over all cores before heavy
+    work on its rows; any other is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_rows(df: DataFrame, by: str) -> DataFrame:
+    """Few rows that much is to be done with, dealt over the cores rather than gathered in one small partition."""
+    return df.repartition(max(partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism), by)
+
+
+def bounded_sample(rows: DataFrame, kind: str, most: int, least: int = 0) -> DataFrame:
+    """At most `most` different rows (id, text) of all, shared over the values of `kind` as these occur, but `least` of each
+    (all, if it has no more): columns h, id, text and the others of `rows`, which are to depend on id and text alone.
+
+    Rows are chosen by a 64-bit hash of id and text, whatever their layout, also where the share is under one in 2**32.
+    Rows that repeat id and text count once, so neither a repeated row nor a repeated or missing id can flood the sample."""
+    rows = rows.withColumn("h", F.xxhash64(F.lit("sample"), "id", "text"))
+    n = rows.groupBy(kind).agg(F.approx_count_distinct("h").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 1
+    quota = F.greatest(F.ceil(F.lit(float(most)) * F.col("n") / F.lit(float(total))), F.lit(least))
+    n = n.select(kind, quota.cast("int").alias("quota"), F.least(F.lit(1.0), (quota * 1.3 + F.sqrt(quota) * 6) / F.col("n")).alias("share"))
+    rows = rows.join(F.broadcast(n), kind).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    kinds = [c for c in rows.columns if c not in ("h", "id", "text", "quota", "share", kind)]
+    rows = rows.groupBy(kind, "h", "id").agg(F.max("text").alias("text"), F.max("quota").alias("quota"), *[F.max(c).alias(c) for c in kinds])
+    place = F.row_number().over(Window.partitionBy(kind).orderBy("h", "id"))
+    return rows.withColumn("place", place).where("place <= quota").drop("place", "quota")
+
+
 def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Rows with what was aggregated of their group (one row a group). A hash as one more key makes both sides of the join
     exchanges of their own, also where the aggregate is dealt by the keys already: only then can adaptive execution split

@@ -3,10 +3,12 @@
 Character 1- to 3-grams of the lower-cased text are hashed to 2**BITS features with sublinear term counts;
 document frequencies are counted over all learning documents (one bounded vector a partition). Weights are learned
 by follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties: most weights are exactly zero) on a
-bounded sample of `max_train_rows` rows, with about LEAST_ROWS of each language at least (all, if it has no more), then one
+bounded sample of `max_train_rows` different rows, with LEAST_ROWS of each language at least (all, if it has no more), chosen
+by hashes of id and text, then one
 temperature is fitted on a held-back fifth of each language's sample (rounded down) so that scores are probabilities. Prediction is one narrow pass over whole texts.
 
-Defined results: texts that are null or have no letter get `und` with score 0; with nothing to learn from all get `und`.
+Defined results: texts that are null or have no letter get `und` with score 0; with nothing to learn from all get `und`;
+rows that repeat id and text are learned from once, and each predicted; very long texts are counted part by part, whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample, spread_rows
+
 BITS, MOST_N, MAX_TRAIN_ROWS, EPOCHS = 15, 3, 4000, 3
 #: Rows of each language in the sample at least, four fifths of them for training.
 LEAST_ROWS = 50
@@ -134,17 +138,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         df[r["k"]] = r["n"]
     total = df[-1]
     idf = np.log((1 + total) / (1 + df[:-1])) + 1
-    share = min(1.0, max_train_rows / max(1.0, total))
-    kinds = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    kinds = kinds.select("lang", F.greatest(F.lit(int(share * 1_000_000)), F.ceil(F.lit(LEAST_ROWS * 1_000_000) / F.col("n"))).alias("below"))
-    chosen = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000)) < F.col("below")
 
     @F.pandas_udf("struct<k:array<int>,n:array<int>>")
     def sparse(s: pd.Series) -> pd.DataFrame:
         both = [counts(t) for t in s]
         return pd.DataFrame({"k": [k.astype(np.int32) for k, _ in both], "n": [n.astype(np.int32) for _, n in both]})
 
-    sample = rows.join(F.broadcast(kinds), "lang").where(chosen).select("id", "lang", sparse("text").alias("s")).select("id", "lang", "s.k", "s.n").orderBy("id", "lang").collect()
+    few = spread_rows(bounded_sample(rows, "lang", max_train_rows, LEAST_ROWS), "h")
+    sample = few.select("h", "id", "lang", sparse("text").alias("s")).select("h", "id", "lang", "s.k", "s.n").collect()
+    sample.sort(key=lambda r: (r["h"], r["lang"]))
     langs = sorted({r["lang"] for r in sample})
     if not langs:
         return Model([], idf, np.zeros((0, width + 1)))

@@ -6,11 +6,12 @@ small learning rate and fits a shallow tree on it alone; all trees of a feature
 lookup table. Then the pairs with most left to explain get two-dimensional tables the same way. A score is the
 sigmoid of the sum of table entries: pure vectorised additions of bins, and each part can be read and plotted.
 
-Training is on a bounded sample of labelled rows (`max_train_rows`, chosen by a hash of the id, so
-the same rows at any layout); scoring is one narrow pass over whole texts, nothing is shuffled.
+Training is on a bounded sample of labelled rows (`max_train_rows` different ones at most, chosen by hashes of id and
+text, so the same rows at any layout and size); scoring is one narrow pass over whole texts, nothing is shuffled.
 
 Defined results: null and empty texts have all-zero features and are scored like any text; null labels and labels of
-unknown ids are not learned from; without any label every score is 0.5.
+unknown ids are not learned from; of several labels of an id the larger one counts; rows that repeat id and text are learned
+from once and each scored; without any label every score is 0.5.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample, spread_rows
+
 MAX_TRAIN_ROWS, ROUNDS, RATE, BINS, PAIRS, PAIR_BINS = 20_000, 150, 0.1, 32, 8, 8
 THRESHOLD = 0.3
 FEATURES = (
@@ -165,21 +168,22 @@ def _feature_column():
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, max_train_rows: int = MAX_TRAIN_ROWS, **options) -> Model:
-    """Learns from labelled rows for which `learn` (a condition on id_col) holds; about max_train_rows of them at most."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
+    """Learns from labelled rows for which `learn` (a condition on id_col) holds; max_train_rows of them at most."""
+    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("__y")).where(F.col(id_col).isNotNull() & F.col("__y").isin(0, 1))
     rows = docs.select(F.col(id_col), F.col(text_col))
     if learn is not None:
-        rows = rows.where(learn)
-        known = known.withColumnRenamed("id", id_col).where(learn).withColumnRenamed(id_col, "id")
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = known.groupBy("id").agg(F.max("y").alias("y"))
-    share = min(1.0, max_train_rows / max(1, known.count()))
-    if share < 1:  # by a hash of the id, before any text is read into features
-        chosen = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000)) < int(share * 1_000_000)
-        rows, known = rows.where(chosen), known.where(chosen)
-    sample = rows.select("id", _feature_column()("text").alias("x")).join(known, "id").orderBy("id", "y").select("x", "y").toPandas()
-    x = np.array(sample["x"].tolist(), dtype=np.float64).reshape(len(sample), len(FEATURES))
-    return fit(x, sample["y"].to_numpy(np.float64), **options)
+        rows, known = rows.where(learn), known.where(learn)
+    rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("__y").alias("y"))
+    total = known.count()
+    if total > 2 * max_train_rows:  # ids first, so that no text is read that isn't likely to be learned from
+        known = known.where(F.xxhash64(F.lit("train"), "id") / F.lit(2.0**64) + 0.5 <= F.lit(2 * max_train_rows / total))
+    known = known.select("id", F.col("y").alias("kind"))
+    rows = rows.join(F.broadcast(known), "id")  # some 2 * max_train_rows ids at most
+    sample = spread_rows(bounded_sample(rows, "kind", max_train_rows), "h").select("h", "id", "kind", _feature_column()("text").alias("x"))
+    found = sample.toPandas().sort_values(["h", "id", "kind"])
+    x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))
+    return fit(x, found["kind"].to_numpy(np.float64), **options)
 
 
 def scorer(model: Model, spark):

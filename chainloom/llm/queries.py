@@ -8,33 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, html_text, language_id, line_dedup, lm_scoring, packing, quality, simhash, warc_zip
-from .common import fold, ship, table
+from .common import fold, ship, spread, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    docs, held_out = spread(table(spark, sf_dir, "documents")), fold(F.col("doc_id"), 5) == 0
     model = quality.train(docs, table(spark, sf_dir, "labels"), learn=fold(F.col("doc_id"), 5) != 0)
     rows = docs.select("doc_id", held_out.alias("held_out"), quality.scorer(model, spark)("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = language_id.train(docs, learn=fold(F.col("doc_id"), 4) != 2)
     rows = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), language_id.predictor(model, spark)("text").alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_text(table(spark, sf_dir, "pages"))
+    return html_text.extract_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return simhash.near_dedup(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.lm_score(table(spark, sf_dir, "documents"), learn=fold(F.col("doc_id"), 7) != 2)
+    return lm_scoring.lm_score(spread(table(spark, sf_dir, "documents")), learn=fold(F.col("doc_id"), 7) != 2)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
