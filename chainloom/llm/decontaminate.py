@@ -7,15 +7,16 @@ verified with Myers' bit-parallel edit distance (an item's column is one arbitra
 the leaves of a binary tree: n neighbouring pieces may have n-1 edits together, since n in each half would exceed
 that. So a hit is first verified on two pieces, then on four, and few hits get as far as the whole item.
 
-Only the items travel: in blocks of at most `block_chars` characters, one scan of the documents a block,
+Only the items travel: in blocks of at most `block_chars` characters, one scan of the documents for TOGETHER of them,
 so what is broadcast is bounded whatever the benchmark's size. Texts are never shuffled.
 
 Defined results: null or blank texts and items match nothing; repeated items and rows each give their matches;
-matches of one item in one text don't overlap.
+matches of one item in one text don't overlap; very long texts are searched whole.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE, BLOCK_CHARS = 0.1, 4_000_000
+#: Blocks that one scan of the documents looks for.
+TOGETHER = 8
 MATCH = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
 
 
@@ -210,8 +213,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """One row per occurrence: id_col, item_id, distance, start, end (offsets in the normalised text)."""
     out = None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for block in _blocks(items, item_id_col, item_text_col, block_chars):
-        found = rows.select("id", F.explode(_finder(block, error_rate, docs.sparkSession)("text")).alias("m")).select(F.col("id").alias(id_col), "m.*")
+    for blocks in itertools.batched(_blocks(items, item_id_col, item_text_col, block_chars), TOGETHER):
+        finders = [_finder(block, error_rate, docs.sparkSession)("text") for block in blocks]  # in one pass over the texts
+        found = rows.select("id", F.explode(F.flatten(F.array(*finders))).alias("m")).select(F.col("id").alias(id_col), "m.*")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = rows.where("false").select(F.col("id").alias(id_col), *[F.lit(0).cast(t).alias(c) for c, t in (("item_id", "long"), ("distance", "int"), ("start", "int"), ("end", "int"))])

@@ -8,10 +8,13 @@ batch never exceeds the token budget.
 
 Numbering without a single task per bucket: segments are dealt by hash over shards of a bucket, numbered
 inside each shard, and the shards' counts (at most `most_shards` + buckets rows, a fixed bound) give offsets.
-So all batches of a bucket are full except one, and the result depends on the rows only.
+So all batches of a bucket are full except one, and the result depends on the rows only. Rows of the same id and length
+travel as one row with their number, in lots of COPIES at most, and are told apart at the end: a repeated or missing
+id floods no shard.
 
-Defined results: null and empty texts are one end token; repeated rows are packed each; an empty table
-gives an empty result.
+Defined results: null and empty texts are one end token; repeated rows and null ids are packed each; an empty table
+gives an empty result; very long texts are encoded in parts that end where the split pattern always ends a piece, so their
+counts are those of the whole text (only white space of over MOST_SPACES characters in a row is cut in between).
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +37,31 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_LEN, BUCKETS, BUDGET = 2048, 16, 65536
 SHARD_ROWS, MOST_SHARDS = 2000, 4096
-#: Longer texts are encoded in parts of so many characters; their token counts add up.
+#: Longer texts are encoded in parts of about so many characters; their token counts add up.
 PART_CHARS = 100_000
+#: The pattern's engine fails at about a million of them in a row.
+MOST_SPACES = 500_000
+#: Rows of one id and length that are numbered together.
+COPIES = 1000
+#: Where the split pattern always ends a piece, whatever follows: before white space, and behind a run of letters or digits.
+_ENDS = regex.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=\p{L})(?=[\p{P}\p{N}])|(?<=\p{N})(?=[\p{P}\p{L}])")
+_SPACES = regex.compile(rf"\s{{{MOST_SPACES}}}")
+
+
+def parts(text: str, most: int = PART_CHARS) -> Iterator[str]:
+    """The text in parts, whose tokens are those of the whole."""
+    at = 0
+    while at < len(text):
+        end = _ENDS.search(text, at + most) if len(text) - at > most else None
+        part = text[at : end.start()] if end else text[at:]
+        at += len(part)
+        if len(part) > MOST_SPACES:
+            inner = 0
+            for m in _SPACES.finditer(part):
+                yield part[inner : m.end()]
+                inner = m.end()
+            part = part[inner:]
+        yield part
 
 
 def token_counter(spark, vocabulary: str = VOCABULARY):
@@ -49,7 +76,7 @@ def token_counter(spark, vocabulary: str = VOCABULARY):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for s in batches:
-            yield pd.Series([sum(len(coder.encode_ordinary(t[i : i + PART_CHARS])) for i in range(0, len(t), PART_CHARS)) if t else 0 for t in s], dtype="int64")
+            yield pd.Series([sum(len(coder.encode_ordinary(x)) for x in parts(t)) if t else 0 for t in s], dtype="int64")
 
     return count
 
@@ -78,10 +105,10 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
 
 
 def segments(df: DataFrame, id_col: str, length: Column, max_len: int) -> DataFrame:
-    """id, segment (from 0), n_tokens."""
-    rows = df.select(F.col(id_col).alias("id"), (F.coalesce(length, F.lit(0)) + 1).cast("long").alias("all"))
+    """id, segment (from 0), n_tokens, lot, copies."""
+    rows = df.select(F.col(id_col).alias("id"), "lot", "copies", (F.coalesce(length, F.lit(0)) + 1).cast("long").alias("all"))
     rows = rows.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / max_len) - 1)))
-    return rows.select("id", "segment", F.least(F.lit(max_len), F.col("all") - F.col("segment") * max_len).cast("int").alias("n_tokens"))
+    return rows.select("id", "segment", F.least(F.lit(max_len), F.col("all") - F.col("segment") * max_len).cast("int").alias("n_tokens"), "lot", "copies")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS, most_shards: int = MOST_SHARDS) -> DataFrame:
@@ -92,9 +119,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, te
         raise ValueError("a batch must hold a segment: budget >= max_len")
     if length is None:
         length = token_counter(df.sparkSession)(F.col(text_col))
-    counted = cut(df.select(F.col(id_col).alias("id"), length.alias("n")))  # texts are encoded once
-    rows = segments(counted, "id", F.col("n"), max_len)
-    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # max_len rows at most
+    counted = df.select(F.col(id_col).alias("id"), length.alias("n")).groupBy("id", "n").agg(F.count(F.lit(1)).alias("copies"))
+    counted = cut(counted)  # texts are encoded once
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    lots = lots.withColumn("copies", F.least(F.col("copies") - F.col("lot"), F.lit(COPIES)))
+    rows = segments(lots, "id", F.col("n"), max_len)
+    histogram = rows.groupBy("n_tokens").agg(F.sum("copies").alias("n")).collect()  # max_len rows at most
     edges = boundaries([r["n_tokens"] for r in histogram], [r["n"] for r in histogram], buckets)
     total = max(1, sum(r["n"] for r in histogram))
     bucket, shards, low = F.lit(None).cast("int"), F.lit(1), 0
@@ -103,14 +133,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, te
         share = max(1, min(-(-n // shard_rows), most_shards * n // total))
         inside = F.col("n_tokens").between(low + 1, e)
         bucket, shards, low = F.when(inside, F.lit(e)).otherwise(bucket), F.when(inside, F.lit(share)).otherwise(shards), e
-    dealt = rows.select("*", bucket.alias("bucket_len"), shards.alias("shards")).withColumn("shard", F.pmod(F.xxhash64("id", "segment"), "shards").cast("int")).drop("shards")
-    sizes = dealt.groupBy("bucket_len", "shard").agg(F.count(F.lit(1)).alias("n")).collect()  # most_shards + buckets rows at most
+    dealt = rows.select("*", bucket.alias("bucket_len"), shards.alias("shards")).withColumn("shard", F.pmod(F.xxhash64("id", "segment", "lot"), "shards").cast("int")).drop("shards")
+    sizes = dealt.groupBy("bucket_len", "shard").agg(F.sum("copies").alias("n")).collect()  # most_shards + buckets rows at most
     offsets, at = [], {}
     for r in sorted(sizes, key=lambda r: (r["bucket_len"], r["shard"])):
         offsets.append((r["bucket_len"], r["shard"], at.get(r["bucket_len"], 0)))
         at[r["bucket_len"]] = offsets[-1][2] + r["n"]
     small = df.sparkSession.createDataFrame(offsets, "bucket_len int, shard int, first long")
-    number = F.row_number().over(Window.partitionBy("bucket_len", "shard").orderBy("id", "segment", "n_tokens")) - 1
-    out = dealt.withColumn("i", number).join(F.broadcast(small), ["bucket_len", "shard"])
-    place, room = F.col("first") + F.col("i"), F.floor(F.lit(budget) / F.col("bucket_len"))
+    so_far = Window.partitionBy("bucket_len", "shard").orderBy("id", "segment", "n_tokens", "lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.withColumn("i", F.sum("copies").over(so_far) - F.col("copies")).join(F.broadcast(small), ["bucket_len", "shard"])
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    place, room = F.col("first") + F.col("i") + F.col("copy"), F.floor(F.lit(budget) / F.col("bucket_len"))
     return out.select(F.col("id").alias(id_col), "segment", "n_tokens", "bucket_len", F.floor(place / room).alias("batch"), F.pmod(place, room).cast("int").alias("slot"))
