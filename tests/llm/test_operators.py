@@ -55,6 +55,21 @@ def test_exact_dedup_keeps_rows(spark):
     assert len({lower(r.text) for r in rows}) == len(rows) == len({lower(t) for t in [*TEXTS, "dup"]})
 
 
+def test_exact_dedup_of_rows_that_differ_elsewhere(spark):
+    rows = [(7, "Same", i, "k") for i in range(50)] + [(None, "same", i, "k") for i in range(5)] + [(9, "other", 1, "k"), (9, "other", 1, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, __key string")
+    got = [sorted(map(tuple, exact_dedup.keep_first(x).collect())) for x in (df, df.repartition(6), df.orderBy(F.desc("`a.b`")))]
+    assert got[0] == got[1] == got[2] and [x[:2] for x in got[0]] == [(7, "Same"), (9, "other")]
+
+
+def test_chunks_are_content_defined_in_other_scripts(spark):
+    rng = random.Random(4)
+    for alphabet in ("漢字かなまじり文。、", "слово и дело, да "):
+        text = "".join(rng.choices(alphabet, k=30_000))
+        a, b = (set(r.c) for r in frame(spark, [text, "新" + text]).select(exact_dedup.chunks(F.col("text")).alias("c")).collect())
+        assert len(a & b) > 0.8 * len(a) > 8
+
+
 def test_chunks_rebuild_the_text(spark):
     random.seed(1)
     texts = ["".join(random.choice("abcdgkp .,\n Aé") for _ in range(n)) for n in (0, 1, 767, 768, 5000, 20000)]
@@ -475,3 +490,44 @@ def test_text_scores(texts):
     for t in texts:
         want.append(tree.log10(lm_scoring.stream([t])[0]).sum())
     assert lm_scoring.text_scores(tree, texts, lm_scoring.DEPTH) == pytest.approx(want)
+
+
+def coder():
+    import base64
+
+    import tiktoken
+
+    with open(packing.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    return tiktoken.Encoding("own", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("alphabet", ["abc déf's  \n\t12 !?-'", "漢字かな。、", "кот дом!  7", "ملك بيت 12،", "a", "x7", "' s!", " \n\u00a0"])
+def test_parts_count_as_the_whole_text(alphabet):
+    rng, enc = random.Random(len(alphabet)), coder()
+    for n, most in ((3000, 50), (3000, 1), (250_000, 100_000)):
+        text = "".join(rng.choices(alphabet, k=n))
+        got = list(packing.parts(text, most))
+        assert "".join(got) == text and sum(len(enc.encode_ordinary(x)) for x in got) == len(enc.encode_ordinary(text))
+
+
+def test_parts_of_endless_white_space():
+    text = "a" + " " * 1_300_000 + "b" + "\n" * 1_100_000
+    got = list(packing.parts(text))
+    assert "".join(got) == text and sum(len(coder().encode_ordinary(x)) for x in got) > 10
+
+
+def test_pack_repeated_ids(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -5).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("doc_id"), (F.col("id") % 7 + 90).alias("n"))
+    runs = [packing.pack(x, length=F.col("n"), max_len=64, buckets=3, budget=640, shard_rows=100).collect() for x in (df, df.repartition(5))]
+    assert sorted(runs[0], key=str) == sorted(runs[1], key=str) and len(runs[0]) == 18_000
+    assert collections.Counter(r.doc_id for r in runs[0])[None] == collections.Counter(r.doc_id for r in runs[0])[-5] == 6000
+    assert len({(r.bucket_len, r.batch, r.slot) for r in runs[0]}) == 18_000
+
+
+def test_items_in_many_blocks_need_one_scan(spark):
+    items = spark.createDataFrame([(i, f"item number {i} of the long list {i * i}") for i in range(12)], "item_id long, text string")
+    docs = frame(spark, [f"before ITEM number {i} of the long list {i * i} after" for i in range(12)] + [None])
+    found = decontaminate.matches(docs, items, block_chars=40)
+    assert {(r.doc_id, r.item_id) for r in found.collect() if not r.distance} == {(i, i) for i in range(12)}
+    assert sum("Scan" in x for x in found._jdf.queryExecution().executedPlan().toString().split("\n")) <= 2
