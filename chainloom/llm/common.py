@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import string
 import tempfile
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the text contracts: [\x20\x09-\x0D].
@@ -65,8 +66,8 @@ def spread_rows(df: DataFrame, by: str) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, kind: str, most: int, least: int = 0) -> DataFrame:
-    """At most `most` different rows (id, text) of all, shared over the values of `kind` as these occur, but `least` of each
-    (all, if it has no more): columns h, id, text and the others of `rows`, which are to depend on id and text alone.
+    """Some more different rows (id, text) than `most` of all, shared over the values of `kind` as these occur, with `least` of
+    each (all, if it has no more): columns h, id, text, kind and quota. `within_quota` makes these numbers exact, on the driver.
 
     Rows are chosen by a 64-bit hash of id and text, whatever their layout, also where the share is under one in 2**32.
     Rows that repeat id and text count once, so neither a repeated row nor a repeated or missing id can flood the sample."""
@@ -76,10 +77,18 @@ def bounded_sample(rows: DataFrame, kind: str, most: int, least: int = 0) -> Dat
     quota = F.greatest(F.ceil(F.lit(float(most)) * F.col("n") / F.lit(float(total))), F.lit(least))
     n = n.select(kind, quota.cast("int").alias("quota"), F.least(F.lit(1.0), (quota * 1.3 + F.sqrt(quota) * 6) / F.col("n")).alias("share"))
     rows = rows.join(F.broadcast(n), kind).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
-    kinds = [c for c in rows.columns if c not in ("h", "id", "text", "quota", "share", kind)]
-    rows = rows.groupBy(kind, "h", "id").agg(F.max("text").alias("text"), F.max("quota").alias("quota"), *[F.max(c).alias(c) for c in kinds])
-    place = F.row_number().over(Window.partitionBy(kind).orderBy("h", "id"))
-    return rows.withColumn("place", place).where("place <= quota").drop("place", "quota")
+    return rows.groupBy(kind, "h", "id").agg(F.max("text").alias("text"), F.max("quota").alias("quota"))
+
+
+def within_quota(sample: list, kind: str) -> list:
+    """The rows of a collected sample up to the quota of each kind, in the order of their hashes."""
+    seen: Counter = Counter()
+    out = []
+    for r in sorted(sample, key=lambda r: (r["h"], str(r["id"]), r[kind])):
+        if seen[r[kind]] < r["quota"]:
+            seen[r[kind]] += 1
+            out.append(r)
+    return out
 
 
 def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -95,13 +104,15 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def store(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder, removed when the driver ends: as `cut`, for wide or columnar results."""
+def store(df: DataFrame, by: str | None = None) -> DataFrame:
+    """A Parquet table in the shared folder, removed when the driver ends: as `cut`, for wide or columnar results. With `by`,
+    rows of each value of that column are files of their own, so that a condition on it reads no others."""
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/chainloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

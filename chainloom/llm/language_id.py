@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, spread_rows
+from .common import bounded_sample, spread_rows, within_quota
 
 BITS, MOST_N, MAX_TRAIN_ROWS, EPOCHS = 15, 3, 4000, 3
 #: Rows of each language in the sample at least, four fifths of them for training.
@@ -145,8 +145,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         return pd.DataFrame({"k": [k.astype(np.int32) for k, _ in both], "n": [n.astype(np.int32) for _, n in both]})
 
     few = spread_rows(bounded_sample(rows, "lang", max_train_rows, LEAST_ROWS), "h")
-    sample = few.select("h", "id", "lang", sparse("text").alias("s")).select("h", "id", "lang", "s.k", "s.n").collect()
-    sample.sort(key=lambda r: (r["h"], r["lang"]))
+    sample = within_quota(few.select("h", "id", "lang", "quota", sparse("text").alias("s")).select("h", "id", "lang", "quota", "s.k", "s.n").collect(), "lang")
     langs = sorted({r["lang"] for r in sample})
     if not langs:
         return Model([], idf, np.zeros((0, width + 1)))

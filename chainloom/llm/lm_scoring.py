@@ -2,26 +2,33 @@
 
 A text is its words (A-Z lower-cased, split at ASCII white space), joined by one space, and one end symbol; the model
 gives each byte a probability, so a text's score is a proper log-probability. Contexts are the 1 to `depth`
-bytes before a byte. A context is a candidate if it makes up at least `p_min` of all training symbols (so there are
-at most depth / p_min of them whatever the corpus), and is retained if its next-symbol distribution
-diverges from its suffix's by at least `bits` in all (count x Kullback-Leibler), or if a retained context needs it.
-Distributions are smoothed with the suffix's (Witten-Bell), down to uniform; the longest retained suffix scores.
-
-Counting covers all training texts. Documents are dealt by hash into blocks of some `block_bytes` (they travel
-normalised and compressed); a block counts its words and its n-grams once and emits words as rows, n-grams as
-sorted compressed runs by a hash range of their context. Runs of a range are merged in one task (its size is bounded by the alphabet, not by
-the corpus). Word counts are aggregated over the corpus and joined back by word to the blocks that have the word:
-each block gets the counts of its own words and scores its own texts. Nothing that grows is broadcast or collected.
-
-Defined results: a null text is empty (one end token); null ids are scored and learned from (fold 0); an empty
-training fold gives uniform bytes and base_score of log10(1) per token.
+bytes before a byte. Contexts of fewer than SHARED bytes are always retained; a longer one that occurs at least `least`
+times is retained if its next-symbol distribution diverges from its suffix's by at least `bits` in all (count x
+Kullback-Leibler), or if a retained context needs it. So the tree grows with the corpus. Distributions are smoothed with the suffix's
+(Witten-Bell), down to uniform; the longest retained suffix scores.
+
+Counting covers all training texts, and the tree stays distributed:
+
+1. Each task packs its rows, as they come, into blocks of some `block_bytes` and writes, once, a block's normalised texts, its
+   distinct words by a hash range of the word, and its distinct n-grams by a hash range of the last SHARED bytes of their context, each
+   with the count in training texts. Repeated rows and ids are nothing special to a block.
+2. A task a range gathers all blocks' counts of it. All contexts that share a suffix of SHARED bytes are in one range, so
+   it grows its part of the tree alone, on top of the shorter contexts (256**3 counts at most, broadcast). It answers
+   each block: corpus counts of its words, log-probabilities of its n-grams, in the block's order.
+3. Blocks meet their answers and score their own texts.
+
+There are about two ranges a block, so neither blocks nor ranges grow with the corpus while those share it evenly; a range's least unit is
+one suffix of SHARED bytes. Nothing that grows is broadcast or collected.
+
+Defined results: a null text is empty (one end token); null ids are scored and learned from (fold 0); repeated rows are
+each learned from and scored; an empty training fold gives uniform bytes and base_score of log10(1) per token; a very long text is a
+block of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,12 +36,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, store
 
-DEPTH, P_MIN, DIVERGENCE_BITS, BLOCK_BYTES, RANGES = 5, 1e-6, 12.0, 16 << 20, 64
+DEPTH, LEAST, DIVERGENCE_BITS, BLOCK_BYTES, LEAST_RANGES = 6, 2, 12.0, 12 << 20, 64
+#: Bytes of context that contexts of one range have in common.
+SHARED = 3
 #: Bytes of text whose n-grams are sorted at once.
 PART_BYTES = 1 << 20
 END = 10
@@ -52,7 +62,7 @@ def words(line: bytes) -> list[bytes]:
 
 def token_key(word: bytes) -> bytes:
     """A word as a key: itself, or for long ones a digest that no word can be equal to."""
-    return word if len(word) <= LONG_TOKEN else b" " + hashlib.sha256(word).digest()
+    return word if len(word) <= LONG_TOKEN else b" " + hashlib.sha256(word).hexdigest().encode()
 
 
 def stream(parts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -73,42 +83,15 @@ def stream(parts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarr
     return g[real], size
 
 
-def text_scores(tree: Tree, parts: list[bytes], depth: int) -> np.ndarray:
-    """log10 probability of each text.
-
-    Each distinct n-gram is looked up once. To find them with one plain sort, bytes become 7-bit codes (where no more than
-    128 kinds occur) and an n-gram shares its word with its position."""
-    pad = bytes([END]) * depth
-    s = np.frombuffer(b"".join(pad + p + bytes([END]) for p in parts), np.uint8)
-    size = np.array([len(p) + 1 for p in parts], np.int64)
-    ends = np.cumsum(size + depth)
-    used = np.flatnonzero(np.bincount(s, minlength=256))
-    bits = 64 - 7 * (depth + 1)
-    if len(used) > 128 or bits < 1 or len(s) >= 1 << bits:
-        grams, _ = stream(parts, depth)
-        keys, back = np.unique(grams, return_inverse=True)
-        return np.add.reduceat(tree.log10(keys)[back], np.cumsum(size) - size)
-    code = np.zeros(256, np.uint64)
-    code[used] = np.arange(len(used), dtype=np.uint64)
-    t = code[s]
-    c = np.zeros(len(s) - depth, np.uint64)
-    for i in range(depth + 1):
-        c <<= np.uint64(7)
-        c |= t[i : len(s) - depth + i]
-    del t
-    c <<= np.uint64(bits)
-    c |= np.arange(len(c), dtype=np.uint64)
-    c = np.concatenate([c[e - n - depth : e - depth] for e, n in zip(ends.tolist(), size.tolist(), strict=True)])  # symbols only
-    c.sort()
-    at = (c & np.uint64((1 << bits) - 1)).astype(np.int64)
-    c >>= np.uint64(bits)
-    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-    grams = np.zeros(len(first), np.uint64)
-    for i in range(depth + 1):
-        grams = (grams << np.uint64(8)) | s[at[first] + i]
-    value = np.zeros(len(s))
-    value[at] = np.repeat(tree.log10(grams), np.diff(np.append(first, len(c))))
-    return np.add.reduceat(value, ends - size - depth)
+def text_scores(keys: np.ndarray, value: np.ndarray, parts: list[bytes], depth: int) -> np.ndarray:
+    """log10 probability of each text: the sum of its n-grams' values (keys are sorted and hold them all)."""
+    grams, size = stream(parts, depth)
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    found = np.empty(len(grams))
+    found[order] = np.repeat(value[np.searchsorted(keys, grams[first])], np.diff(np.append(first, len(grams))))
+    return np.add.reduceat(found, np.cumsum(size) - size)
 
 
 def count(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -129,20 +112,50 @@ def lower_orders(keys: np.ndarray, n: np.ndarray, depth: int) -> dict[int, tuple
     return out
 
 
-def _mix(contexts: np.ndarray, order: int) -> np.ndarray:
-    h = (contexts + np.uint64(order + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
+def gram_ranges(keys: np.ndarray, ranges: int, shared: int = SHARED) -> np.ndarray:
+    h = ((keys >> np.uint64(8)) & np.uint64((1 << 8 * shared) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (((h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+
+
+def word_ranges(tokens: list[bytes], ranges: int) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)) % np.uint64(ranges)).astype(np.int64)
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expand(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, which compresses better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def pack_run(keys: np.ndarray, n: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return squeeze(planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8")) + planes(n.astype("<u4")))
 
 
 def unpack_run(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    raw = expand(blob)
     n = len(raw) // 12
-    keys = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(keys, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(unplanes(raw[: 8 * n], "<u8"), dtype=np.uint64), unplanes(raw[8 * n :], "<u4").astype(np.int64)
+
+
+def pack_words(tokens: list[bytes], n: np.ndarray) -> bytes:
+    return squeeze(planes(n.astype("<u4")) + b"\n".join(tokens))
+
+
+def unpack_words(blob: bytes, size: int) -> tuple[list[bytes], np.ndarray]:
+    raw = expand(blob)
+    return raw[4 * size :].split(b"\n"), unplanes(raw[: 4 * size], "<u4").astype(np.int64)
 
 
 @dataclass
@@ -174,8 +187,19 @@ class Tree:
         return np.log10(p)
 
 
-def grow(candidates: dict[int, tuple[np.ndarray, np.ndarray]], bits: float = DIVERGENCE_BITS) -> Tree:
-    """The tree of the candidates' n-gram counts, by order; orders above 0 hold whole distributions of candidate contexts."""
+def frequent(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of contexts that occur at least so often."""
+    c = keys >> np.uint64(8)
+    starts = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+    if not len(starts):
+        return keys, n
+    keep = np.repeat(np.add.reduceat(n, starts) >= least, np.diff(np.append(starts, len(keys))))
+    return keys[keep], n[keep]
+
+
+def grow(candidates: dict[int, tuple[np.ndarray, np.ndarray]], bits: float = DIVERGENCE_BITS, always: int = 0) -> Tree:
+    """The tree of the candidates' n-gram counts, by order; orders above 0 hold whole distributions of candidate contexts,
+    and those of up to `always` are all retained."""
     tree = Tree()
     keys, n = candidates.get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     zero = np.bincount(keys.astype(np.int64), n, 256) if len(keys) else np.zeros(256)
@@ -200,172 +224,218 @@ def grow(candidates: dict[int, tuple[np.ndarray, np.ndarray]], bits: float = DIV
     needed = np.zeros(0, np.uint64)
     for k in range(len(full), 0, -1):
         ctx, weight, keys, prob, gain = full[k - 1]
-        keep = (gain >= bits) | np.isin(ctx, needed)
+        keep = (gain >= bits) | np.isin(ctx, needed) | (k <= always)
         needed = np.unique(ctx[keep] & np.uint64((1 << 8 * (k - 1)) - 1))
         stay = np.isin(keys >> np.uint64(8), ctx[keep])
         tree.orders.insert(0, (ctx[keep], weight[keep], keys[stay], prob[stay]))
     return tree
 
 
-_BLOB = pa.schema([("id", pa.int64()), ("learn", pa.bool_()), ("line", pa.binary())])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, id, learn, text) to rows (block, blob), each blob some documents of a block, normalised."""
-    held: dict[int, tuple[list, list, list]] = {}
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal size
-        for block, columns in held.items():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _BLOB, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _BLOB, strict=True)], schema=_BLOB))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
-        held.clear()
-        size = 0
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            line = normal(batch.column(3)[i].as_py())
-            columns = held.setdefault(batch.column(0)[i].as_py(), ([], [], []))
-            for c, x in zip(columns, (batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), line), strict=True):
-                c.append(x)
-            size += len(line) + 100
-            if size >= 16 * PART_BYTES:
-                yield from flush()
-    yield from flush()
-
-
-def _documents(blobs) -> Iterator[tuple[int | None, bool, bytes]]:
-    for blob in blobs:
-        with pa.ipc.open_stream(blob) as r:
-            for batch in r:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+_TEXTS = pa.schema([("id", pa.int64()), ("learn", pa.bool_()), ("line", pa.binary())])
+#: Rows of the counting pass: kind of data (below), block, range, number of entries, data.
+_ROWS = "kind int, block long, part int, n long, data binary"
+TEXTS, WORDS, GRAMS, LOW = range(4)
+
+
+def _by_range(where: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range that occurs, and the places where it does, ascending."""
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(ranges + 1))
+    for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if b > a:
+            yield r, order[a:b]
+
+
+def _tokens(lines: list[bytes]) -> dict[bytes, int]:
+    """The distinct words of a block (b"" is the end), numbered as they come."""
+    seen = {b"": 0}
+    for line in lines:
+        for w in words(line):
+            seen.setdefault(w, len(seen))
+    return seen
+
+
+def _grams(lines: list[bytes], depth: int) -> np.ndarray:
+    """All n-grams of some texts, sorted."""
+    g = np.empty(sum(map(len, lines)) + len(lines), np.uint64)
+    at, held, size = 0, [], 0
+    for line in [*lines, None]:
+        if held and (line is None or size >= PART_BYTES):
+            made = stream(held, depth)[0]
+            g[at : at + len(made)] = made
+            at, held, size = at + len(made), [], 0
+        if line is not None:
+            held.append(line)
+            size += len(line)
+    g.sort()
+    return g
 
 
-def _count_block(depth: int, ranges: int):
-    """Of a block: rows of words (token, n in training texts), runs of n-grams of training texts (range, order, run)."""
+def _runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and their numbers."""
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    return g[first], np.diff(np.append(first, len(g)))
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        seen: Counter = Counter()
-        other: set = set()
-        ends = symbols = size = 0
-        merged: tuple[np.ndarray, np.ndarray] | None = None
-        held: list[bytes] = []
-
-        def flush() -> None:
-            nonlocal merged, held, size, symbols
-            if held:
-                new = count(stream(held, depth)[0])
-                symbols += int(new[1].sum())
-                merged = new if merged is None else count(np.concatenate([merged[0], new[0]]), np.concatenate([merged[1], new[1]]))
-                held, size = [], 0
 
-        for _, learn, line in _documents(d["blob"]):
-            if not learn:
-                other.update(words(line))
-                continue
+def count_block(ids: list, learn: list, lines: list[bytes], depth: int, ranges: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(kind, range, entries, data) of a block."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, learn, lines), _TEXTS, strict=True)], schema=_TEXTS))
+    yield TEXTS, 0, len(ids), sink.getvalue().to_pybytes()
+    seen: Counter = Counter()
+    for line, on in zip(lines, learn, strict=True):
+        if on:
             seen.update(words(line))
-            ends += 1
-            held.append(line)
-            size += len(line)
-            if size >= PART_BYTES:
-                flush()
-        flush()
-        tokens = [b"", *seen, *other.difference(seen)]
-        n = np.array([ends, *seen.values(), *[0] * (len(tokens) - 1 - len(seen))], np.int64)
-        rows = [pd.DataFrame({"token": [token_key(t) for t in tokens], "n": n, "part": -1, "ord": -1, "run": None})]
-        if merged is not None:
-            for k, (keys, m) in lower_orders(*merged, depth).items():
-                where = (_mix(keys >> np.uint64(8), k) % np.uint64(ranges)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(ranges + 1))
-                runs = [(r, pack_run(keys[order[a:b]], m[order[a:b]])) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                rows.append(pd.DataFrame({"token": None, "n": symbols if k == 0 else 0, "part": [r for r, _ in runs], "ord": k, "run": [x for _, x in runs]}))
-        out = pd.concat(rows, ignore_index=True)
-        out["block"] = d["block"].iloc[0]
-        return out[["block", "token", "n", "part", "ord", "run"]]
+    seen[b""] = sum(learn)
+    tokens = list(_tokens(lines))
+    n = np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
+    tokens = [token_key(t) for t in tokens]
+    for r, at in _by_range(word_ranges(tokens, ranges), ranges):
+        yield WORDS, r, len(at), pack_words([tokens[i] for i in at.tolist()], n[at])
+    del seen, tokens
+    keys, n = _runs(_grams([x for x, on in zip(lines, learn, strict=True) if on], depth))
+    low = count(keys & np.uint64((1 << 8 * SHARED) - 1), n)
+    yield LOW, 0, len(low[0]), pack_run(*low)
+    rest = _runs(_grams([x for x, on in zip(lines, learn, strict=True) if not on], depth))[0]
+    if len(rest):  # held-out n-grams are asked for, with a count of 0
+        keys, n = count(np.concatenate([keys, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)]))
+    for r, at in _by_range(gram_ranges(keys, ranges), ranges):
+        yield GRAMS, r, len(at), pack_run(keys[at], n[at])
+
+
+def _count(depth: int, ranges: int, block_bytes: int):
+    """Rows (id, learn, text) to rows of _ROWS, block by block as rows come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        ids, learn, lines, size = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, part, n, data in count_block(ids, learn, lines, depth, ranges):
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["kind", "block", "part", "n", "data"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids.append(batch.column(0)[i].as_py())
+                learn.append(batch.column(1)[i].as_py())
+                lines.append(normal(batch.column(2)[i].as_py()))
+                size += len(lines[-1]) + 100
+                if size >= block_bytes:
+                    yield from flush()
+                    block += 1
+                    ids, learn, lines, size = [], [], [], 0
+        if ids:
+            yield from flush()
 
     return run
 
 
-def _merge(least: float):
-    """The runs of a range: n-grams of the contexts that occur often enough."""
+def merge_words(d: pd.DataFrame) -> pd.DataFrame:
+    """Of a range of words: what each block asked for, and the corpus' numbers (tokens and distinct tokens of training texts)."""
+    known: dict[bytes, int] = {}
+    get = known.get
+    for data, size in zip(d["data"], d["n"].tolist(), strict=True):
+        tokens, n = unpack_words(data, size)
+        for w, k in zip(tokens, n.tolist(), strict=True):
+            known[w] = get(w, 0) + k
+    out = [(-1, sum(known.values()), sum(k > 0 for k in known.values()), b"")]
+    for block, data, size in zip(d["block"].tolist(), d["data"], d["n"].tolist(), strict=True):
+        found = np.fromiter(map(known.__getitem__, unpack_words(data, size)[0]), np.int64, size)
+        out.append((block, 0, 0, squeeze(planes(found.astype("<u8")))))
+    made = pd.DataFrame(out, columns=["block", "total", "kinds", "data"])
+    made["part"] = d["part"].iloc[0]
+    return made[["block", "part", "total", "kinds", "data"]]
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        order = int(d["ord"].iloc[0])
-        merged: tuple[np.ndarray, np.ndarray] | None = None
-        for at in range(0, len(d), 16):
-            both = [unpack_run(x) for x in d["run"].iloc[at : at + 16]] + ([merged] if merged is not None else [])
-            merged = count(np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both]))
-        keys, n = merged
-        c = keys >> np.uint64(8)
-        starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        total = np.add.reduceat(n, starts)
-        keep = np.repeat(total >= (least if order else 0), np.diff(np.append(starts, len(keys))))
-        return pd.DataFrame({"ord": [order], "keys": [keys[keep].astype("<u8").tobytes()], "n": [n[keep].astype("<u8").tobytes()]})
 
-    return run
+def merge_grams(low, depth: int, least: int, bits: float):
+    """Of a range of n-grams: the log-probabilities that each block asked for."""
 
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpack_run(x) for x in d["data"]]
+        keys, n = count(np.concatenate([x for x, _ in asked]), np.concatenate([x for _, x in asked]))
+        on = n > 0
+        orders = lower_orders(keys[on], n[on], depth)
+        tree = grow(low.value | {k: frequent(*v, least) for k, v in orders.items() if k >= SHARED}, bits, SHARED - 1)
+        value = tree.log10(keys).astype("<f4")
+        made = [(block, squeeze(planes(value[np.searchsorted(keys, x)]))) for block, (x, _) in zip(d["block"].tolist(), asked, strict=True)]
+        made = pd.DataFrame(made, columns=["block", "data"])
+        made["part"] = d["part"].iloc[0]
+        return made[["block", "part", "data"]]
 
-def _score_block(tree, n_tokens: int, kinds: int, depth: int):
-    def run(d: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        c = dict(zip(known["token"], known["c"].tolist(), strict=True))
-        ends, low = c.get(b"", 0), math.log10(n_tokens + kinds + 1)
-        out: list[tuple] = []
-        held: list[bytes] = []
-        size = 0
-        scores: list[np.ndarray] = []
+    return run
 
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                scores.append(text_scores(tree.value, held, depth))
-                held, size = [], 0
 
-        for doc, learn, line in _documents(d["blob"]):
-            w = words(line)
-            if w and max(map(len, w)) > LONG_TOKEN:
-                w = [token_key(t) for t in w]
-            n = np.fromiter(map(c.__getitem__, w), np.float64, len(w))
-            out.append((doc, learn, len(n) + 1, int(np.count_nonzero(n)) + (ends > 0), float((np.log10(n + 1) - low).sum()) + math.log10(ends + 1) - low))
+def _score_block(n_tokens: int, kinds: int, depth: int, ranges: int):
+    def run(d: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        with pa.ipc.open_stream(d["data"].iloc[0]) as r:
+            ids, learn, lines = (c.to_pylist() for c in r.read_all().columns)
+        mine = {(kind, part): data for kind, part, data in zip(answers["kind"].tolist(), answers["part"].tolist(), answers["data"], strict=True)}
+        number = _tokens(lines)
+        tokens = [token_key(t) for t in number]
+        c = np.zeros(len(tokens), np.int64)
+        for part, at in _by_range(word_ranges(tokens, ranges), ranges):
+            c[at] = unplanes(expand(mine[WORDS, part]), "<u8").astype(np.int64)
+        del tokens
+        low = math.log10(n_tokens + kinds + 1)
+        sizes = np.fromiter((line.count(b" ") + 2 if line else 1 for line in lines), np.int64, len(lines))
+        at = np.fromiter((number[w] for line in lines for w in (*words(line), b"")), np.int64, int(sizes.sum()))
+        del number
+        starts = np.cumsum(sizes) - sizes
+        out = {"id": pd.array(ids, dtype="Int64"), "learn": learn, "n_tokens": sizes}
+        out["n_known"] = np.add.reduceat((c > 0)[at].astype(np.int64), starts)
+        out["base_score"] = np.add.reduceat((np.log10(c + 1.0) - low)[at], starts)
+        del at
+        keys = _runs(_grams(lines, depth))[0]
+        value = np.zeros(len(keys))
+        for part, at in _by_range(gram_ranges(keys, ranges), ranges):
+            value[at] = unplanes(expand(mine[GRAMS, part]), "<f4")
+        scores, held, size = [], [], 0
+        for line in lines:
             held.append(line)
             size += len(line)
             if size >= PART_BYTES:
-                flush()
-        flush()
-        made = pd.DataFrame(out, columns=["id", "learn", "n_tokens", "n_known", "base_score"])
-        made["id"] = made["id"].astype("Int64")
-        made["score"] = np.concatenate(scores) if scores else np.zeros(0)
-        return made
+                scores.append(text_scores(keys, value, held, depth))
+                held, size = [], 0
+        if held:
+            scores.append(text_scores(keys, value, held, depth))
+        out["score"] = np.concatenate(scores)
+        return pd.DataFrame(out)
 
     return run
 
 
-def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN, bits: float = DIVERGENCE_BITS, block_bytes: int = BLOCK_BYTES, ranges: int = RANGES) -> DataFrame:
+def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, bits: float = DIVERGENCE_BITS, block_bytes: int = BLOCK_BYTES, least_ranges: int = LEAST_RANGES) -> DataFrame:
     """One row per input row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 each).
 
-    learn: which rows are learned from."""
+    learn: which rows are learned from; depth: bytes of context, SHARED to 7; least: how often a context must occur."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(partitions(spark), math.ceil(total / block_bytes))
-    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), "learn", "text")
-    rows = rows.mapInArrow(_pack, "block int, blob binary")
-    counted = store(rows.groupBy("block").applyInPandas(_count_block(depth, ranges), "block int, token binary, n long, part int, ord int, run binary"))
-    symbols = counted.where("ord = 0").groupBy("block").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
-    merged = counted.where("ord >= 0").select("part", "ord", "run").groupBy("part", "ord").applyInPandas(_merge(p_min * symbols), "ord int, keys binary, n binary")
-    candidates: dict[int, list] = {}
-    for r in merged.collect():  # at most 1 / p_min contexts an order, whatever the corpus
-        candidates.setdefault(r["ord"], []).append((np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["n"], "<u8").astype(np.int64)))
-    tree = grow({k: count(np.concatenate([x for x, _ in v]), np.concatenate([x for _, x in v])) for k, v in candidates.items()}, bits)
-    shared = spark.sparkContext.broadcast(tree)
-    tokens = counted.where("ord = -1").select("block", "token", "n")
-    known = tokens.groupBy("token").agg(F.sum("n").alias("c"))
-    n, kinds = known.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    ranges = max(least_ranges, 2 * math.ceil(total / block_bytes))
+    counted = store(rows.mapInArrow(_count(depth, ranges, block_bytes), _ROWS), "kind")
+    texts = counted.where(F.col("kind") == TEXTS)
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for x in d["data"]:
+                keys, n = unpack_run(x)
+                yield pd.DataFrame({"k": keys.view(np.int64), "n": n})
+
+    few = counted.where(F.col("kind") == LOW).select("data").mapInPandas(unpacked, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")  # 256**SHARED rows at most
+    few = (few["k"].to_numpy(np.int64).view(np.uint64), few["n"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast(lower_orders(*few, SHARED - 1))
+    tasks = partitions(spark, ranges // 4)
+    by_range = lambda kind: counted.where(F.col("kind") == kind).select("block", "part", "n", "data").repartition(tasks, "part").groupBy("part")
+    counts = store(by_range(WORDS).applyInPandas(merge_words, "block long, part int, total long, kinds long, data binary"))
+    n, kinds = counts.where("block = -1").agg(F.sum("total"), F.sum("kinds")).first()
     n, kinds = n or 0, kinds or 0
-    # a word has one row a block at most, so no word is hot here, and the counts needn't move again for the join
-    mine = tokens.select("block", "token").join(known, "token").select("block", "token", "c")
-    scored = rows.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(_score_block(shared, n, kinds, depth), "id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    probabilities = by_range(GRAMS).applyInPandas(merge_grams(shared, depth, least, bits), "block long, part int, data binary")
+    blocks = partitions(spark, texts.count())
+    answers = counts.where("block >= 0").select(F.lit(WORDS).alias("kind"), "block", "part", "data").unionByName(probabilities.select(F.lit(GRAMS).alias("kind"), "block", "part", "data"))
+    answers = answers.repartition(blocks, "block").groupBy("block")
+    scored = texts.select("block", "data").repartition(blocks, "block").groupBy("block").cogroup(answers)
+    scored = scored.applyInPandas(_score_block(n, kinds, depth, ranges), "id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

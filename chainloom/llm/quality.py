@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, spread_rows
+from .common import bounded_sample, spread_rows, within_quota
 
 MAX_TRAIN_ROWS, ROUNDS, RATE, BINS, PAIRS, PAIR_BINS = 20_000, 150, 0.1, 32, 8, 8
 THRESHOLD = 0.3
@@ -180,10 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = known.where(F.xxhash64(F.lit("train"), "id") / F.lit(2.0**64) + 0.5 <= F.lit(2 * max_train_rows / total))
     known = known.select("id", F.col("y").alias("kind"))
     rows = rows.join(F.broadcast(known), "id")  # some 2 * max_train_rows ids at most
-    sample = spread_rows(bounded_sample(rows, "kind", max_train_rows), "h").select("h", "id", "kind", _feature_column()("text").alias("x"))
-    found = sample.toPandas().sort_values(["h", "id", "kind"])
-    x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))
-    return fit(x, found["kind"].to_numpy(np.float64), **options)
+    sample = spread_rows(bounded_sample(rows, "kind", max_train_rows), "h").select("h", "id", "kind", "quota", _feature_column()("text").alias("x"))
+    found = within_quota(sample.collect(), "kind")
+    x = np.array([r["x"] for r in found], dtype=np.float64).reshape(len(found), len(FEATURES))
+    return fit(x, np.array([r["kind"] for r in found], np.float64), **options)
 
 
 def scorer(model: Model, spark):
