@@ -13,7 +13,8 @@ and a lost executor's work is redone by Spark's own commit protocol; `ZipArchive
 read(offset, length), and `read_archives` takes binaryFile tables too.
 
 Defined results: a null page is an empty payload; a null id is smaller than any other; rows that repeat an id with the
-same payload are all responses if the id is the largest.
+same payload are all responses if the id is the largest; an empty table gives no archives; a very long page is a record like
+any other.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import join_back, partitions, store
 
 LEAST_BYTES, ARCHIVE_BYTES = 1000, 8 << 20
+#: Archives that one task builds, one after the other.
+TOGETHER = 4
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -194,8 +197,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     n = max(partitions(pages.sparkSession), -(-total // archive_bytes))
 
-    def dealt(page: str, key: str) -> Column:
-        return F.pmod(F.xxhash64(page, key), F.lit(n)).cast("int").alias("archive")
+    def dealt(*by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
 
     def build(d: pd.DataFrame, refers: pd.DataFrame) -> pd.DataFrame:
         if not len(d):
@@ -205,8 +208,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         records = [(None if i == _NULL else i, u, bytes(p), s, top.get((i, k))) for i, u, p, s, k in zip(d["id"].tolist(), d["url"], d["payload"], d["sha1"], d["key"], strict=True)]
         return pd.DataFrame({"path": [f"part-{d['archive'].iloc[0]:06d}.zip"], "content": [build_archive(records)]})
 
-    payloads = rows.select(dealt("id", "key"), "*").groupBy("archive")
-    refers = revisits.select(F.col("id").alias("page"), F.col("key").alias("same"), F.col("top").alias("top")).select(dealt("page", "same"), "page", "same", "top").groupBy("archive")
+    tasks = max(partitions(pages.sparkSession), -(-n // TOGETHER))  # by the bytes there are, whatever the session's setting
+    small = F.octet_length("payload") < least  # never revisits, so their copies need not meet
+    payloads = rows.select(F.when(small, dealt("id", "key", "url")).otherwise(dealt("id", "key")).alias("archive"), "*").repartition(tasks, "archive").groupBy("archive")
+    refers = revisits.select(F.col("id").alias("page"), F.col("key").alias("same"), F.col("top").alias("top")).select(dealt("page", "same").alias("archive"), "page", "same", "top")
+    refers = refers.repartition(tasks, "archive").groupBy("archive")
     return payloads.cogroup(refers).applyInPandas(build, "path string, content binary")  # a payload moves once
 
 
