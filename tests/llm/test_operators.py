@@ -424,7 +424,7 @@ def test_lm_scores(spark):
     texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "THE  the\tunseen", "y" * 300]
     learn = lambda i: i % 3 != 0 and i < 60
     df = frame(spark, texts)
-    rows = {r.doc_id: r for r in lm_scoring.lm_score(df, (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 60), p_min=1e-4, bits=4.0).collect()}
+    rows = {r.doc_id: r for r in lm_scoring.lm_score(df, (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 60), bits=4.0).collect()}
     assert len(rows) == len(texts)
     words = {i: lower(t).split() for i, t in enumerate(texts)}
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in enumerate(texts)}
@@ -446,14 +446,14 @@ def test_tree_is_a_distribution_and_uses_longest_suffix():
     counts = lm_scoring.lower_orders(*lm_scoring.count(grams), lm_scoring.DEPTH)
     tree = lm_scoring.grow(counts, bits=4.0)
     assert sum(len(x[0]) for x in tree.orders) > 5
-    for context in (b"\n\n\n\n\n", b"abab ", b"zzzzz", b" abca"):
+    for context in (b"\n\n\n\n\n\n", b" abab ", b"zzzzzz", b"b abca"):
         g = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
         assert (10 ** tree.log10(g)).sum() == pytest.approx(1)
     some = grams[:500]
     c = collections.Counter(int(x) for x in grams)
-    order5 = tree.orders[4]
+    longest = tree.orders[lm_scoring.DEPTH - 1]
     for g in some.tolist():
-        if (g >> 8) in set(order5[0].tolist()) and c[g]:
+        if (g >> 8) in set(longest[0].tolist()) and c[g]:
             total = sum(n for x, n in c.items() if x >> 8 == g >> 8)
             assert 10 ** tree.log10(np.array([g], np.uint64))[0] == pytest.approx(c[g] / total, rel=0.5)
 
@@ -462,7 +462,7 @@ def test_tree_prunes_contexts_that_add_nothing():
     rng = np.random.default_rng(0)
     text = bytes(rng.choice(np.frombuffer(b"abcd", np.uint8), 5000))
     grams, _ = lm_scoring.stream([text])
-    tree = lm_scoring.grow(lm_scoring.lower_orders(*lm_scoring.count(grams), 5), bits=60.0)
+    tree = lm_scoring.grow(lm_scoring.lower_orders(*lm_scoring.count(grams), lm_scoring.DEPTH), bits=60.0)
     assert len(tree.orders[1][0]) < 8
 
 
@@ -485,11 +485,63 @@ def test_stream_matches_a_plain_loop():
 
 @pytest.mark.parametrize("texts", [[b"ab c", b"", b"d", b"ab c ab"], [bytes(range(128, 256)) + b"abcdefghij", b"xy"], [b"a" * 3000]])
 def test_text_scores(texts):
-    tree = lm_scoring.grow(lm_scoring.lower_orders(*lm_scoring.count(lm_scoring.stream(texts * 5)[0]), lm_scoring.DEPTH), bits=1.0)
-    want = []
+    keys, n = lm_scoring.count(lm_scoring.stream(texts * 5)[0])
+    tree = lm_scoring.grow(lm_scoring.lower_orders(keys, n, lm_scoring.DEPTH), bits=1.0)
+    want = [tree.log10(lm_scoring.stream([t])[0]).sum() for t in texts]
+    assert lm_scoring.text_scores(keys, tree.log10(keys), texts, lm_scoring.DEPTH) == pytest.approx(want)
+
+
+def brute_tree(texts, depth, least, bits, shared):
+    """P(symbol | context) of a plain suffix tree in dictionaries."""
+    pad = b"\n" * depth
+    counts = collections.defaultdict(collections.Counter)
     for t in texts:
-        want.append(tree.log10(lm_scoring.stream([t])[0]).sum())
-    assert lm_scoring.text_scores(tree, texts, lm_scoring.DEPTH) == pytest.approx(want)
+        s = pad + t + b"\n"
+        for i in range(depth, len(s)):
+            for k in range(depth + 1):
+                counts[s[i - k : i]][s[i]] += 1
+    counts = {c: x for c, x in counts.items() if len(c) < shared or x.total() >= least}
+
+    def smooth(c, x, keep):
+        while c and c not in keep:
+            c = c[1:]
+        if c == b"" and c not in counts:
+            return 1 / 256
+        below = 1 / 256 if c == b"" else smooth(c[1:], x, keep)
+        return (counts[c][x] + len(counts[c]) * below) / (counts[c].total() + len(counts[c]))
+
+    keep = {c for c in counts if len(c) < shared}
+    for c in counts:
+        if len(c) >= shared and sum(n * math.log2(n / counts[c].total() / smooth(c[1:], x, counts)) for x, n in counts[c].items()) >= bits:
+            keep.update(c[i:] for i in range(len(c) + 1))
+    return lambda t: sum(math.log10(smooth((pad + t + b"\n")[i - depth : i], (pad + t + b"\n")[i], keep)) for i in range(depth, depth + len(t) + 1))
+
+
+@pytest.mark.parametrize("depth", [3, 6, 7])
+def test_lm_scores_are_those_of_a_plain_tree(spark, depth):
+    rng = random.Random(depth)
+    vocab = ["abab", "abc", "ca", "É", "the", "then", "there"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 30))) for _ in range(50)] + [None, "thereabouts zz", "abab abc"]
+    df = frame(spark, texts, [None if i == 7 else i for i in range(len(texts))])
+    learn = F.col("doc_id") % 3 != 0
+    lines = [lm_scoring.normal(t) for t in texts]
+    score = brute_tree([x for i, x in enumerate(lines) if i % 3 and i != 7], depth, 2, 5.0, lm_scoring.SHARED)
+    for options in ({"block_bytes": 300}, {"block_bytes": 1 << 20, "least_ranges": 3}):
+        rows = lm_scoring.lm_score(df, learn, depth=depth, bits=5.0, **options).collect()
+        assert {r.doc_id: r.score for r in rows} == pytest.approx({None if i == 7 else i: score(x) for i, x in enumerate(lines)}, rel=1e-5)
+    assert lm_scoring.lm_score(frame(spark, ["a b", ""]), F.lit(False)).where("score > -1000").count() == 2
+
+
+def test_the_tree_grows_with_the_corpus():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200)).encode() for _ in range(60)]
+    size = []
+    for some in (texts[:15], texts, texts * 4):
+        keys, n = lm_scoring.count(lm_scoring.stream(some)[0])
+        orders = lm_scoring.lower_orders(keys, n, lm_scoring.DEPTH)
+        tree = lm_scoring.grow({k: lm_scoring.frequent(*v, 2) for k, v in orders.items()})
+        size.append(sum(len(x[0]) for x in tree.orders))
+    assert size[0] * 2 < size[1] < size[2]
 
 
 def coder():

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainloom.llm import language_id, quality
-from chainloom.llm.common import bounded_sample
+from chainloom.llm.common import bounded_sample, within_quota
 
 
 def picked(rows, *args):
-    return sorted((r.h, r.id, r.kind) for r in bounded_sample(rows, *args).collect())
+    return sorted((r.h, r.id, r.kind) for r in within_quota(bounded_sample(rows, *args).collect(), args[0]))
 
 
 def test_sample_is_exact_and_bounded(spark):
