@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .errors import EngineError
 from .operators.filters import EthFilter, LogFilter, rpc_log
-from .plans import coverage, exact_sum, metadata
+from .plans import coverage, division, exact_sum, metadata
 from .plans.dialect import to_spark
-from .plans.rewrite import rewrite
+from .plans.rewrite import asks_for_head, rewrite
 from .plans.tokens import Token, text
 from .plans.validate import check_size, validate
 from .results import MAX_PAGE, check_columns, json_rows, json_value, page
@@ -40,9 +40,10 @@ class QueryResult:
 
 
 class Engine:
-    """Queries over a store's snapshot (admitted against its verified range), or over any logs DataFrame, unverified."""
+    """Queries over a store's snapshot (admitted against its verified range), or over any logs DataFrame, unverified; `tables`
+    are other relations that queries may name."""
 
-    def __init__(self, source: LogStore | Snapshot | DataFrame, head: int | None = None, unverified: bool = False, most_bytes: int | None = None) -> None:
+    def __init__(self, source: LogStore | Snapshot | DataFrame, head: int | None = None, unverified: bool = False, most_bytes: int | None = None, tables: dict[str, DataFrame] | None = None) -> None:
         self.snapshot = source.snapshot() if isinstance(source, LogStore) else source if isinstance(source, Snapshot) else None
         self.unverified = unverified or self.snapshot is None
         self._rows = source if self.snapshot is None else None
@@ -55,6 +56,9 @@ class Engine:
         self._slots = threading.BoundedSemaphore(8)
         metadata.register(self.spark)
         self._logs().createOrReplaceTempView("logs")
+        self._tables = frozenset(tables or ())
+        for name, rows in (tables or {}).items():
+            DataFrame(self._adopt(rows), self.spark).createOrReplaceTempView(name)
 
     def _logs(self) -> DataFrame:
         if self.snapshot is not None:
@@ -77,10 +81,9 @@ class Engine:
     def sql(self, query: str, limit: int | None = None, offset: int = 0) -> DataFrame:
         """The result of a read-only query, paged after its own LIMIT. Everything that can be refused is refused here."""
         check_size(query)
-        upper = query.upper()
-        query = rewrite(query, self.head_block() if "LATEST" in upper else None)
+        query = rewrite(query, self.head_block() if asks_for_head(query) else None)
         check_size(query)
-        tokens = validate(query)
+        tokens = validate(query, self._tables)
         if metadata.is_metadata(tokens):
             df = metadata.run(self.spark, tokens)
             check_columns(df)
@@ -97,7 +100,7 @@ class Engine:
         if plan is not None:
             return exact_sum.run(plan, self.spark.table("logs"), self._most_bytes)
         exact_sum.check_text_sums(tokens)
-        df = self.spark.sql(to_spark(text(tokens)))
+        df = division.run(self.spark, to_spark(text(tokens)))
         return df.select() if tokens[0].is_("FROM") and "__none" in df.columns else df
 
     def query(self, query: str, limit: int | None = None, offset: int = 0) -> QueryResult:

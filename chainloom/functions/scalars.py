@@ -14,7 +14,7 @@ from ..errors import SyntaxRejected
 RENAMED = {
     "strpos": "instr", "starts_with": "startswith", "ends_with": "endswith", "random": "rand", "approx_distinct": "approx_count_distinct", "substr_index": "substring_index",
     "to_timestamp_seconds": "timestamp_seconds", "to_timestamp_millis": "timestamp_millis", "to_timestamp_micros": "timestamp_micros", "to_unixtime": "unix_timestamp",
-    "to_char": "date_format", "regexp_match": "regexp_extract_all", "array_remove_all": "array_remove", "array_to_string": "array_join", "array_length": "cardinality",
+    "to_char": "date_format", "array_remove_all": "array_remove", "array_to_string": "array_join", "array_length": "cardinality",
     "array_concat": "concat", "array_cat": "concat", "array_reverse": "reverse", "array_push_back": "array_append", "make_array": "array", "make_map": "map", "unnest": "explode",
     "var": "var_samp", "var_sample": "var_samp", "var_population": "var_pop", "covar": "covar_samp", "datepart": "date_part", "datetrunc": "date_trunc",
     "array_element": "try_element_at", "array_extract": "try_element_at",
@@ -37,10 +37,31 @@ def _gcd(a: str, b: str) -> str:
 
 
 def _date_bin(width: str, at: str, origin: str = "TIMESTAMP_NTZ '1970-01-01 00:00:00'") -> str:
+    """The start of the bin of `width` (microseconds to days, or months and years) that a timestamp lies in."""
+    if re.search(r"month|year", width, re.I):
+        whole = f"CAST({width} AS INTERVAL YEAR TO MONTH)"
+        months = f"(extract(YEAR FROM {whole}) * 12 + extract(MONTH FROM {whole}))"
+        apart = f"((year({at}) - year({origin})) * 12 + month({at}) - month({origin}))"
+        full = f"({apart} - if({origin} + make_ym_interval(0, {apart}) > {at}, 1, 0))"
+        return f"({origin} + make_ym_interval(0, CAST(floor({full} / CAST({months} AS DOUBLE)) AS INT) * {months}))"
     whole = f"CAST({width} AS INTERVAL DAY TO SECOND)"
-    seconds = f"(extract(DAY FROM {whole}) * 86400 + extract(HOUR FROM {whole}) * 3600 + extract(MINUTE FROM {whole}) * 60 + CAST(extract(SECOND FROM {whole}) AS BIGINT))"
-    start = f"unix_timestamp({origin})"
-    return f"CAST(timestamp_seconds({start} + CAST(floor((unix_timestamp({at}) - {start}) / {seconds}) AS BIGINT) * {seconds}) AS TIMESTAMP_NTZ)"
+    micros = f"((extract(DAY FROM {whole}) * 86400L + extract(HOUR FROM {whole}) * 3600L + extract(MINUTE FROM {whole}) * 60L) * 1000000L + CAST(extract(SECOND FROM {whole}) * 1000000 AS BIGINT))"
+    start, now = (f"unix_micros(CAST({x} AS TIMESTAMP_LTZ))" for x in (origin, at))
+    return f"CAST(timestamp_micros({now} - pmod({now} - {start}, {micros})) AS TIMESTAMP_NTZ)"
+
+
+#: An escaped character or a class, which open no group, or what opens one.
+_GROUP = re.compile(r"\\.|\[(?:\\.|[^\]])*\]|(\((?!\?)|\(\?P?<(?![=!]))")
+
+
+def _regexp_match(a: list[str]) -> str:
+    """The groups of the first match, or the match if the pattern has none; NULL without a match."""
+    if not re.fullmatch(r"'(?:[^']|'')*'", a[1]):
+        raise SyntaxRejected("regexp_match needs a pattern that is written out")
+    p = f"concat('(?{a[2].strip('() ')[1:-1]})', {a[1]})" if len(a) > 2 else a[1]
+    groups = sum(bool(x) for x in _GROUP.findall(a[1][1:-1].replace("\\\\", "\\")))
+    found = ", ".join(f"regexp_extract({a[0]}, {p}, {i})" for i in (range(1, groups + 1) if groups else (0,)))
+    return f"(CASE WHEN regexp_like({a[0]}, {p}) THEN array({found}) END)"
 
 
 def slice_of(a: str, first: str, last: str) -> str:
@@ -183,7 +204,7 @@ EXPRESSIONS = {
     # text
     ("to_hex", 1): _args("lower(hex({0}))"), ("left", 2): _args("(CASE WHEN {1} < 0 THEN substring({0}, 1, length({0}) + {1}) ELSE left({0}, {1}) END)"), ("right", 2): _args("(CASE WHEN {1} < 0 THEN substring({0}, 1 - {1}) ELSE right({0}, {1}) END)"),
     ("repeat", 2): _args("(CASE WHEN {1} IS NULL THEN NULL ELSE repeat({0}, CAST(least(greatest({1}, 0), 2147483647) AS INT)) END)"), ("ltrim", 2): _args("trim(LEADING {1} FROM {0})"), ("rtrim", 2): _args("trim(TRAILING {1} FROM {0})"), ("trim", 2): _args("trim(BOTH {1} FROM {0})"),
-    ("regexp_replace", 3): _regexp_replace, ("regexp_replace", 4): _regexp_replace, ("regexp_like", 3): _flagged("regexp_like({0}, {p})"), ("regexp_match", 3): _flagged("regexp_extract_all({0}, {p})"),
+    ("regexp_replace", 3): _regexp_replace, ("regexp_replace", 4): _regexp_replace, ("regexp_like", 3): _flagged("regexp_like({0}, {p})"), ("regexp_match", 2): _regexp_match, ("regexp_match", 3): _regexp_match,
     ("encode", 2): _coded("lower(hex({0}))", "trim(TRAILING '=' FROM base64({0}))"), ("decode", 2): _coded("unhex({0})", "unbase64({0})"), ("digest", 2): _digest,
     ("sha224", 1): _args("unhex(sha2({0}, 224))"), ("sha256", 1): _args("unhex(sha2({0}, 256))"), ("sha384", 1): _args("unhex(sha2({0}, 384))"), ("sha512", 1): _args("unhex(sha2({0}, 512))"),
     # numbers

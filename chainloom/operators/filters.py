@@ -37,6 +37,12 @@ class LogFilter:
     limit: int | None = None
     offset: int = 0
 
+    def __post_init__(self) -> None:
+        if len(self.topics) > len(TOPICS) or not 0 <= self.min_topics <= len(TOPICS):
+            raise FilterError(f"a log has at most {len(TOPICS)} topics")
+        if self.offset < 0 or (self.limit is not None and self.limit < 0):
+            raise FilterError("limit and offset can't be negative")
+
     def predicate(self) -> Column:
         c, out = F.col, F.lit(True)
         for column, low, high in (("block_number", self.from_block, self.to_block), ("timestamp", self.from_time, self.to_time), ("data", self.data_from, self.data_to)):
