@@ -55,15 +55,16 @@ class Engine:
         self._head, self._most_bytes, self._tag = head, most_bytes, f"chainloom-{uuid.uuid4().hex}"
         self._slots = threading.BoundedSemaphore(8)
         metadata.register(self.spark)
+        self._planning = threading.RLock()
         self._logs().createOrReplaceTempView("logs")
         self._tables = frozenset(tables or ())
         for name, rows in (tables or {}).items():
             DataFrame(self._adopt(rows), self.spark).createOrReplaceTempView(name)
 
-    def _logs(self) -> DataFrame:
+    def _logs(self, low: int | None = None, high: int | None = None) -> DataFrame:
         if self.snapshot is not None:
             own = Snapshot(LogStore(self.spark, self.snapshot.store.path, self.snapshot.store.bucket_blocks), self.snapshot.version)
-            return own.logs()
+            return own.logs(low, high)
         rows = self._rows if "topics" in self._rows.columns else public_view(self._rows)
         return DataFrame(rows._jdf.sparkSession() and self._adopt(rows), self.spark)
 
@@ -88,13 +89,29 @@ class Engine:
             df = metadata.run(self.spark, tokens)
             check_columns(df)
             return page(df, limit, offset)
-        df = self._plan(tokens)
+        with self._planning:
+            df = self._pruned(tokens, self._plan(tokens))
         check_columns(df)
         if not self.unverified:  # LIMIT 0 is optimised away, but is admitted or refused by its scans like any other
             some = [Token("number", "1") if t.text == "0" and i and tokens[i - 1].is_("LIMIT") else t for i, t in enumerate(tokens)]
             coverage.check(df if some == tokens else self._plan(some), self.snapshot.verified)
         return page(df, limit, offset)
 
+    def _pruned(self, tokens: list[Token], df: DataFrame) -> DataFrame:
+        """The query over those blocks of the store only that its scans ask for, together, after Catalyst's pushdown."""
+        if self.snapshot is None:
+            return df
+        found = coverage.scans(df)
+        lows, highs = [low for low, _, _ in found], [high for _, high, _ in found]
+        low, high = (f(x) if x and None not in x else None for f, x in ((min, lows), (max, highs)))
+        if low is None and high is None:
+            return df
+        self._logs(low, high).createOrReplaceTempView("logs")
+        try:
+            return self._plan(tokens)
+        finally:
+            self._logs().createOrReplaceTempView("logs")
+
     def _plan(self, tokens: list[Token]) -> DataFrame:
         plan = exact_sum.recognise(tokens)
         if plan is not None:
@@ -126,7 +143,8 @@ class Engine:
     # log requests
 
     def get_logs(self, request: LogFilter) -> DataFrame:
-        df = request.apply(self.spark.table("logs"))
+        rows = self.spark.table("logs") if self.snapshot is None else self._logs(request.from_block, request.to_block)
+        df = request.apply(rows)
         if not self.unverified:
             coverage.admit(self.snapshot.verified, request.from_block, request.to_block, request.block_hash)
         return df

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .engine import Engine
 from .operators.filters import EthFilter, LogFilter
 from .operators.transfers import TransferFilter, net_flow, notifications
 from .operators.windows import groups_frame
 from .sources.schema import APPROVAL, DEPOSIT, TRANSFER, from_events, from_receipts, public_view
+from .sources.store import LogStore, scratch
 
+#: A block among the first, where the stores of the queries below begin a second batch.
+SPLIT = 18000100
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -180,16 +182,39 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_frame(logs, F.sum("data_len"), "total", ["address"], [F.col("block_number")], -2, 0).select("block_number", "log_index", "total")
 
 
-def _change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state that a subscriber ends with after a reorganisation of the last blocks: retractions, then replacements."""
-    logs = logs_of(spark, sf_dir)
-    at = 18000100
-    old = logs.withColumn("seq", F.lit(1)).withColumn("removed", F.lit(False))
-    gone = logs.where(F.col("block_number") >= at).withColumn("seq", F.lit(2)).withColumn("removed", F.lit(True))
-    new = logs.where((F.col("block_number") >= at) & (F.col("log_index") < 2)).withColumn("block_hash", F.concat(F.lit("0xff"), F.substring("block_hash", 5, 62))).withColumn("seq", F.lit(3)).withColumn("removed", F.lit(False))
-    last = F.row_number().over(Window.partitionBy("block_hash", "log_index").orderBy(F.col("seq").desc()))
-    changes = old.unionByName(gone).unionByName(new).withColumn("n", last)
-    return changes.where("n = 1 AND NOT removed").select("block_number", "block_hash", "log_index", "data")
+def _store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """The logs in two batches of small buckets."""
+    store, logs = LogStore(spark, scratch(spark, "store"), bucket_blocks=500), logs_of(spark, sf_dir)
+    store.append(logs.where(F.col("block_number") < SPLIT))
+    store.append(logs.where(F.col("block_number") >= SPLIT))
+    return store
+
+
+def _store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(_store(spark, sf_dir), unverified=True).sql(f"SELECT block_number, log_index, address, data FROM logs WHERE block_number > {SPLIT + 50}")
+
+
+def _store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    store.compact(["address", "block_number"])
+    return Engine(store, unverified=True).sql("SELECT address, SUM(data) AS total FROM logs GROUP BY address")
+
+
+def _store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees that captured the store between two commits."""
+    store, logs = LogStore(spark, scratch(spark, "store"), bucket_blocks=500), logs_of(spark, sf_dir)
+    store.append(logs.where(F.col("block_number") < SPLIT))
+    reader = Engine(store.snapshot(), unverified=True)
+    store.append(logs.where(F.col("block_number") >= SPLIT))
+    return reader.sql("SELECT COUNT(*) AS n, MAX(block_number) AS high, COUNT(DISTINCT address) AS emitters FROM logs")
+
+
+def _reorganised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All canonical rows after the blocks from SPLIT on were replaced by shorter ones."""
+    store, logs = _store(spark, sf_dir), logs_of(spark, sf_dir)
+    new = logs.where((F.col("block_number") >= SPLIT) & (F.col("log_index") < 2)).withColumn("block_hash", F.concat(F.lit("0xff"), F.substring("block_hash", 5, 62)))
+    store.reorganise(SPLIT, new)
+    return Engine(store, unverified=True).sql("SELECT block_number, block_hash, log_index, data FROM logs")
 
 
 _IS_TRANSFER = f"topic0 = '{TRANSFER}' AND topic3 IS NULL AND data_len = 32"
@@ -200,7 +225,10 @@ DATAFRAME: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "transfer_filter": (_transfers, f"SELECT address AS \"tokenAddress\", '0x' || substr(topic1, 27) AS \"from\", '0x' || substr(topic2, 27) AS \"to\", block_number AS \"blockNumber\", log_index AS \"logIndex\", false AS removed FROM logs WHERE {_IS_TRANSFER} AND data >= '0x' || lpad('3e8', 64, '0') AND (substr(topic1, 27) IN (substr(sha256('w:3'), 1, 40), substr(sha256('w:8'), 1, 40)) OR substr(topic2, 27) IN (substr(sha256('w:3'), 1, 40), substr(sha256('w:8'), 1, 40)))"),
     "receipt_flattening": (_receipts, "SELECT block_number, tx_index, log_index, tx_hash, address, topic0, topic3, data, data_len FROM logs"),
     "window_groups_frame": (_groups, "SELECT block_number, log_index, CAST(SUM(data_len) OVER (PARTITION BY address ORDER BY block_number GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM logs"),
-    "reorg_state": (_change_log, "SELECT block_number, block_hash, log_index, data FROM logs WHERE block_number < 18000100 UNION ALL SELECT block_number, '0xff' || substr(block_hash, 5), log_index, data FROM logs WHERE block_number >= 18000100 AND log_index < 2"),
+    "store_range": (_store_range, f"SELECT block_number, log_index, address, data FROM logs WHERE block_number > {SPLIT + 50}"),
+    "store_compacted": (_store_compacted, f"SELECT address, CAST(SUM({AMOUNT}) AS VARCHAR) AS total FROM logs GROUP BY address"),
+    "store_snapshot": (_store_snapshot, f"SELECT COUNT(*) AS n, MAX(block_number) AS high, COUNT(DISTINCT address) AS emitters FROM logs WHERE block_number < {SPLIT}"),
+    "reorg_state": (_reorganised, "SELECT block_number, block_hash, log_index, data FROM logs WHERE block_number < 18000100 UNION ALL SELECT block_number, '0xff' || substr(block_hash, 5), log_index, data FROM logs WHERE block_number >= 18000100 AND log_index < 2"),
 }
 
 

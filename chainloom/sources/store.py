@@ -1,7 +1,8 @@
 """Log storage on Parquet: appended batches, snapshots, compaction, and reorganisations.
 
 A store is a folder: `data/` has one folder per batch (batch=...), partitioned by block bucket and sorted inside, with bloom
-filters on address and topics; `manifests/` has one small JSON file per version, created atomically. A version names its
+filters on address and topics; `manifests/` has one small JSON file per version, written by the one
+writer that claimed the version. A version names its
 batches; each batch has a block from which its rows are no longer canonical (none by default), so a reorganisation
 rewrites nothing: it lowers that limit and adds replacement batches in one commit. Readers capture a version; the
 files it names are never changed.
@@ -10,9 +11,12 @@ files it names are never changed.
 from __future__ import annotations
 
 import json
+import tempfile
+import time
 import uuid
 from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,7 @@ from ..plans.coverage import Verified
 from .schema import KEY, STORED, public_view
 
 BUCKET_BLOCKS = 10_000
+CLAIM_SECONDS = 3600
 
 
 @dataclass(frozen=True)
@@ -79,6 +84,7 @@ class LogStore:
         new = replace(new, version=old.version + 1)
         raw = {"version": new.version, "epoch": new.epoch, "batches": [vars(b) for b in new.batches], "verified": new.verified and vars(new.verified)}
         draft, final = self._path("manifests", f".{uuid.uuid4().hex}"), self._path("manifests", f"{new.version:012d}.json")
+        self._claim(new.version, final)
         stream = self._fs.create(draft, False)
         stream.write(json.dumps(raw).encode())
         stream.close()
@@ -87,6 +93,17 @@ class LogStore:
             raise SnapshotChanged("another writer committed first")
         return new
 
+    def _claim(self, version: int, final) -> None:
+        """Makes this the only writer of a version: of all that create its claim, one can. A claim that led to nothing for
+        CLAIM_SECONDS is that of a writer that was lost, and is taken over."""
+        claim = self._path("manifests", f"{version:012d}.claim")
+        try:
+            if self._fs.exists(claim) and not self._fs.exists(final) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+                self._fs.delete(claim, False)
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            raise SnapshotChanged("another writer committed first") from e
+
     # writing
 
     def _write(self, rows: DataFrame, extra: list[str] | None = None) -> Batch | None:
@@ -135,21 +152,30 @@ class Snapshot:
     store: LogStore
     version: Manifest
 
-    def stored(self, canonical_only: bool = True) -> DataFrame:
-        spark = self.store.spark
+    def stored(self, canonical_only: bool = True, low: int | None = None, high: int | None = None) -> DataFrame:
+        """The rows, or those of blocks low to high: batches that the manifest bounds elsewhere aren't listed, and of others only the
+        folders of these blocks are read."""
+        spark, n = self.store.spark, self.store.bucket_blocks
         groups: dict[int | None, list[str]] = {}
         for b in self.version.batches:
+            if (low is not None and b.to_block < low) or (high is not None and b.from_block > high):
+                continue
             if not (canonical_only and b.retired_from is not None and b.retired_from <= b.from_block):
                 groups.setdefault(b.retired_from if canonical_only else None, []).append(b.path)
         out = None
         for limit, paths in groups.items():  # one scan for all batches without a limit
-            rows = spark.read.schema(STORED).option("basePath", f"{self.store.path.rstrip('/')}/data").parquet(*paths).select(*STORED.fieldNames())
+            rows = spark.read.schema(STORED).option("basePath", f"{self.store.path.rstrip('/')}/data").parquet(*paths)
+            if low is not None:
+                rows = rows.where((F.col("block_bucket") >= low // n) & (F.col("block_number") >= low))
+            if high is not None:
+                rows = rows.where((F.col("block_bucket") <= high // n) & (F.col("block_number") <= high))
+            rows = rows.select(*STORED.fieldNames())
             rows = rows if limit is None else rows.where(F.col("block_number") < limit)
             out = rows if out is None else out.unionByName(rows)
         return spark.createDataFrame([], STORED) if out is None else out
 
-    def logs(self) -> DataFrame:
-        return public_view(self.stored())
+    def logs(self, low: int | None = None, high: int | None = None) -> DataFrame:
+        return public_view(self.stored(low=low, high=high))
 
     @property
     def head(self) -> int | None:
@@ -162,3 +188,18 @@ class Snapshot:
     def check(self) -> None:
         if self.store.manifest().epoch != self.version.epoch:
             raise SnapshotChanged("the data was reorganised")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share (below spark.checkpoint.dir), removed when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/chainloom-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
