@@ -7,6 +7,8 @@ position, and each group's few limb sums are put together once. No payload is ev
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,7 +69,8 @@ def sums(df: DataFrame, keys: list[str], values: dict[str, tuple[Column, Column]
     """One row per group: the keys and, for each name, the exact sum as text (NULL without a non-null input).
 
     values: name -> (payload column or NULL, signed integer column or NULL); a row adds what isn't null.
-    most_bytes: an upper bound of the payload lengths, if known; short payloads need no explode."""
+    Payloads of up to SHORT_BYTES are added limb by limb inside the one aggregate; only longer ones take a second branch.
+    most_bytes: an upper bound of the payload lengths, if known (a longer one is an error): up to SHORT_BYTES there is no such branch."""
     short = most_bytes is not None and most_bytes <= SHORT_BYTES
     aggregates, named = [], {}
     rows = df
@@ -75,17 +78,18 @@ def sums(df: DataFrame, keys: list[str], values: dict[str, tuple[Column, Column]
         rows = rows.withColumn(f"__p{i}", payload).withColumn(f"__n{i}", number.cast("decimal(38,0)"))
         named[name] = i
         aggregates += [F.count(f"__p{i}").alias(f"__c{i}"), F.count(f"__n{i}").alias(f"__d{i}"), F.sum(f"__n{i}").alias(f"__s{i}")]
-        if short:
-            padded = F.lpad(F.substring(f"__p{i}", 3, 2 * SHORT_BYTES), 2 * SHORT_BYTES, "0")
-            for k in range(2 * SHORT_BYTES // DIGITS):
-                limb = F.conv(F.substring(padded, 2 * SHORT_BYTES - DIGITS * (k + 1) + 1, DIGITS), 16, 10).cast("decimal(20,0)")
-                aggregates.append(F.sum(limb).alias(f"__l{i}_{k}"))
+        long = F.length(f"__p{i}") > 2 + 2 * SHORT_BYTES
+        few = F.when(long, F.raise_error(F.lit(f"a payload is longer than {most_bytes} bytes")).cast("string") if short else F.lit("0x")).otherwise(F.col(f"__p{i}"))
+        padded = F.lpad(F.substring(few, 3, 2 * SHORT_BYTES), 2 * SHORT_BYTES, "0")
+        for k in range(2 * SHORT_BYTES // DIGITS):
+            limb = F.conv(F.substring(padded, 2 * SHORT_BYTES - DIGITS * (k + 1) + 1, DIGITS), 16, 10).cast("decimal(20,0)")
+            aggregates.append(F.sum(limb).alias(f"__l{i}_{k}"))
     combine = _combine()
     out = rows.groupBy(*keys).agg(*aggregates)
-    if short:
-        limbs = {i: (F.array(*[F.lit(k) for k in range(2 * SHORT_BYTES // DIGITS)]), F.array(*[F.coalesce(f"__l{i}_{k}", F.lit(0)).cast("string") for k in range(2 * SHORT_BYTES // DIGITS)])) for i in named.values()}
-    else:
-        payloads = rows.select(*keys, *[F.col(f"__p{i}").cast("string") for i in named.values()])
+    limbs = {i: (F.array(*[F.lit(k) for k in range(2 * SHORT_BYTES // DIGITS)]), F.array(*[F.coalesce(f"__l{i}_{k}", F.lit(0)).cast("string") for k in range(2 * SHORT_BYTES // DIGITS)])) for i in named.values()}
+    if not short:
+        is_long = {i: F.length(f"__p{i}") > 2 + 2 * SHORT_BYTES for i in named.values()}
+        payloads = rows.where(functools.reduce(operator.or_, is_long.values())).select(*keys, *[F.when(x, F.col(f"__p{i}")).cast("string").alias(f"__p{i}") for i, x in is_long.items()])
         fields = [T.StructField(f"k{n}", payloads.schema[k].dataType) for n, k in enumerate(keys)]
         kinds = T.StructType([*fields, T.StructField("v", T.IntegerType()), T.StructField("total", T.StringType())])
         sums_ = payloads.toDF(*[f"k{n}" for n in range(len(keys))], *[f"p{i}" for i in named.values()]).mapInArrow(_batch_sums(len(keys), len(named)), kinds).toDF(*keys, "v", "total")
@@ -99,7 +103,7 @@ def sums(df: DataFrame, keys: list[str], values: dict[str, tuple[Column, Column]
             out = out.withColumn("__one", F.lit(1)).join(per.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")  # a row and a row
         found = F.coalesce("__parts", F.array().cast("array<struct<v:int,limb:int,value:string>>"))
         own = {i: _parts_of(found, i) for i in named.values()}
-        limbs = {i: (F.transform(x, lambda p: p["limb"]), F.transform(x, lambda p: p["value"])) for i, x in own.items()}
+        limbs = {i: (F.concat(limbs[i][0], F.transform(x, lambda p: p["limb"])), F.concat(limbs[i][1], F.transform(x, lambda p: p["value"]))) for i, x in own.items()}
     picked = []
     for name, i in named.items():
         a, b = limbs[i]
