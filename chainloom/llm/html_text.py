@@ -7,7 +7,9 @@ in the same container behind these. Text lengths are summed over a sliding windo
 characters) and the next dive point (a window falls to nothing), short lines inside included. If no window
 surges, the page's densest stretch is its text. Where a page marks its article, its lines, all of them, are the text.
 
-One narrow pass over whole pages. Defined results: null, empty or text-free pages give an empty text; broken or unclosed
+One narrow pass over whole pages, in time proportional to their length. Classes and ids count by their words: the last word names a
+thing (`entry-footer` is a footer, `search-result-article` is not a search form), and what calls itself a post, article or content
+is one, comments and adverts apart. Defined results: null, empty or text-free pages give an empty text; broken or unclosed
 markup ends with its container; line breaks are white space, two in a row end a block.
 """
 
@@ -24,13 +26,14 @@ from pyspark.sql import functions as F
 WINDOW, SURGE = 3, 80
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
+_SPLIT = re.compile(r"[^a-z0-9]+")
 _ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = frozenset("script style textarea title iframe noscript template xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _HOLDS = frozenset("article aside body div fieldset footer form header main nav section table td ul ol".split())
 _OUT = frozenset("nav footer aside form button select datalist dialog menu head svg canvas audio video object".split())
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS = {"body": {"head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _WORDS = frozenset(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner menu nav navbar navigation
@@ -39,6 +42,10 @@ _WORDS = frozenset(
     sharing social toolbar pagination pager search copyright disclaimer hidden""".split()
 )
 _HEAD_WORDS = frozenset("header masthead topbar".split())
+#: What is never content, whatever else it is called: adverts and reader comments.
+_NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion comment comments commentlist reply replies respond disqus".split())
+#: Words that name what is to be kept, as a class of its own or as the last word of one; and words that make a class say something about others.
+_CONTENT, _ABOUT = frozenset("article post entry content story main text".split()), frozenset("has with no without is js".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SAFE = frozenset("html body article main".split())
 
@@ -54,14 +61,13 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id"):
-            found = set(re.split(r"[^a-z0-9]+", value))
-            if tag in ("html", "body"):
-                continue
-            if tag in _SAFE:
-                found &= {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"}
-            if found & _WORDS or (not inside and found & _HEAD_WORDS):
-                return True
+        if name in ("class", "id") and tag not in ("html", "body"):
+            names = [x for c in value.split() if (x := [w for w in _SPLIT.split(c) if w])]
+            own = any(len(x) == 1 and x[0] in _CONTENT for x in names) or tag in _SAFE  # it is content, whatever else it is called
+            for x in names:
+                found = set(x) & (_NEVER if own else _WORDS if inside else _WORDS | _HEAD_WORDS)
+                if found and not (own and len(x) > 1) and x[-1] not in _CONTENT - _NEVER and not _ABOUT.intersection(x):
+                    return True
     return False
 
 
@@ -71,9 +77,15 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
     within: list[int | None] = []  # of each line of `out`, its container; None for a gap where boilerplate stood, -1 for others
     holders, made = [0], 0  # open containers
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are boilerplate
+    places: dict[str, list[int]] = {}  # of each tag, where it is open in the stack
     skip = inside = breaks = 0
     text: list[str] = []
 
+    barriers = [-1]  # of open containers, where they stand in the stack
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
     def flush() -> None:
         nonlocal breaks
         breaks = 0
@@ -91,11 +103,13 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
     def pop() -> None:
         nonlocal skip, inside
         tag, bad = stack.pop()
+        places[tag].pop()
         if tag in _BLOCK and not skip:
             flush()
         inside -= tag in ("article", "main") and not bad
         if tag in _HOLDS:
             holders.pop()
+            barriers.pop()
         if bad:
             skip -= 1
             if not skip:
@@ -121,7 +135,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if not tag:
             continue
         if m[1]:  # end tag
-            if any(t == tag for t, _ in stack):
+            if places.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -142,14 +156,10 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if tag in _BLOCK:
             if not skip:
                 flush()
-            for t in reversed(range(len(stack))):  # an open paragraph ends here, as does an open item of the same kind
-                name = stack[t][0]
-                if name == "p" or (tag in _ENDS and name in _ENDS[tag]) or (name == "head" and tag == "body"):
-                    while len(stack) > t:
-                        pop()
-                    break
-                if name in _HOLDS or name in _STOP.get(tag, ()):
-                    break
+            at_p, stop = last(("p", *_ENDS.get(tag, ()))), max(barriers[-1], last(_STOP.get(tag, ())))
+            if at_p >= stop and at_p >= 0:  # an open paragraph ends here, as does an open item of the same kind
+                while len(stack) > at_p:
+                    pop()
         if tag in _VOID:
             continue
         bad = _boilerplate(tag, m[3], inside > 0)
@@ -162,6 +172,8 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if tag in _HOLDS:
             made += 1
             holders.append(made)
+            barriers.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, bad))
     while stack:
         pop()

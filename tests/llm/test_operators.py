@@ -371,6 +371,39 @@ def test_html_keeps_short_lines_of_the_article():
     assert html_text.extract(f'<body><nav>n</nav><div id="content">{article}</div><nav>n</nav><p>Imprint</p></body>') == want
 
 
+LONG_P = f"<p>{'long words of the text ' * 20}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "n", "end"),
+    [
+        (f"<article>{LONG_P}<div><div><div></div></div></div><p>End.</p></article>", 2, "End."),
+        (f"<article>{LONG_P}<section><div><div><p>Short.</p></div></div></section></article>", 2, "Short."),
+        (f'<div class="search-result-article">{LONG_P}</div>', 1, "text"),
+        (f'<div class="post share">{LONG_P}</div><div class="sidebar">{LONG_P}</div>', 1, "text"),
+        (f'<div class="entry-footer">{LONG_P}</div><div class="page-with-sidebar has-sidebar">{LONG_P}<p>End.</p></div><div class="comment-body">{LONG_P}</div>', 2, "End."),
+        (f'<main><div class="sidebar">{LONG_P}</div><article class="post comments-open">{LONG_P}<div class="ad-slot">no</div><p>End.</p></article></main>', 2, "End."),
+        (f'<article><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>x<td>y<tr><td>z</table>{LONG_P}</article>', 8, "text"),
+    ],
+)
+def test_html_articles(page, n, end):
+    lines = html_text.extract(page).split("\n")
+    assert len(lines) == n and lines[-1].endswith(end)
+
+
+@pytest.mark.parametrize("unit", ["<b>", "<span><p>", "<div><li>x", "</b>", "<p><table><tr><td>", "<!--", "<a b='"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.extract(unit * n)
+        return time.process_time() - start
+
+    few = max(0.05, min(seconds(4000) for _ in range(2)))
+    assert seconds(40_000) < 40 * few
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     rows = {r.page_id: r for r in html_text.extract_text(df).collect()}
