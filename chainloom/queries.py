@@ -100,7 +100,7 @@ ENGINE: dict[str, tuple[str, str | None]] = {
     "logs_qualify_order": ("SELECT address, topic0 FROM logs QUALIFY ROW_NUMBER() OVER (PARTITION BY address ORDER BY block_number, log_index) <= 90 ORDER BY block_number DESC, log_index DESC LIMIT 250", None),
     "fn_division": ("SELECT block_number, log_index, n / 2 AS half, -n / 2 AS minus, LENGTH(address) / 5 AS l, n / 2 / 2 AS quarter, n / 2.0 AS f, CAST(n AS DOUBLE) / 2 AS g, 7 * n / (n + 1) AS r FROM (SELECT block_number, log_index, log_index + 1 AS n, address FROM logs) t", "SELECT block_number, log_index, n // 2 AS half, -(n // 2) AS minus, LENGTH(address) // 5 AS l, (n // 2) // 2 AS quarter, n / 2 AS f, n / 2 AS g, 7 * n // (n + 1) AS r FROM (SELECT block_number, log_index, log_index + 1 AS n, address FROM logs) t"),
     "fn_regexp": (r"SELECT block_number, log_index, regexp_match(address, '^0x([0-9]+)([a-f])') AS m, regexp_match(address, 'a[0-9]') AS w, regexp_like(data, '0{30}') AS z, regexp_replace(address, '[0-9]', '#', 'g') AS r, address ~ '^0x[0-4]' AS t, data ILIKE '0XA%' AS i FROM logs", r"SELECT block_number, log_index, CASE WHEN regexp_matches(address, '^0x([0-9]+)([a-f])') THEN [regexp_extract(address, '^0x([0-9]+)([a-f])', 1), regexp_extract(address, '^0x([0-9]+)([a-f])', 2)] END AS m, CASE WHEN regexp_matches(address, 'a[0-9]') THEN [regexp_extract(address, 'a[0-9]')] END AS w, regexp_matches(data, '0{30}') AS z, regexp_replace(address, '[0-9]', '#', 'g') AS r, regexp_matches(address, '^0x[0-4]') AS t, data ILIKE '0XA%' AS i FROM logs"),
-    "fn_date_bin": ("SELECT block_number, log_index, date_bin(INTERVAL '500 milliseconds', moment) AS a, date_bin(INTERVAL '15 minutes', moment) AS b, date_bin(INTERVAL '2 months', moment) AS c FROM (SELECT block_number, log_index, to_timestamp_micros(timestamp * 1000000 + log_index * 260000) AS moment FROM logs) t", "SELECT block_number, log_index, time_bucket(INTERVAL '500 milliseconds', moment, TIMESTAMP '1970-01-01') AS a, time_bucket(INTERVAL '15 minutes', moment, TIMESTAMP '1970-01-01') AS b, time_bucket(INTERVAL '2 months', moment, TIMESTAMP '1970-01-01') AS c FROM (SELECT block_number, log_index, make_timestamp(timestamp * 1000000 + log_index * 260000) AS moment FROM logs) t"),
+    "fn_date_bin": ("SELECT block_number, log_index, CAST(date_bin(INTERVAL '500 milliseconds', moment) AS VARCHAR) AS a, CAST(date_bin(INTERVAL '15 minutes', moment) AS VARCHAR) AS b, CAST(date_bin(INTERVAL '2 months', moment) AS VARCHAR) AS c FROM (SELECT block_number, log_index, to_timestamp_micros(timestamp * 1000000 + log_index * 260000) AS moment FROM logs) t", "SELECT block_number, log_index, CAST(time_bucket(INTERVAL '500 milliseconds', moment, TIMESTAMP '1970-01-01') AS VARCHAR) AS a, CAST(time_bucket(INTERVAL '15 minutes', moment, TIMESTAMP '1970-01-01') AS VARCHAR) AS b, CAST(time_bucket(INTERVAL '2 months', moment, TIMESTAMP '1970-01-01') AS VARCHAR) AS c FROM (SELECT block_number, log_index, make_timestamp(timestamp * 1000000 + log_index * 260000) AS moment FROM logs) t"),
     "fn_struct_map": ("SELECT block_number, log_index, named_struct('a', address, 'n', data_len).n AS n, map_keys(make_map('x', source, 'y', tx_index)) AS k, map_extract(make_map('x', source, 'y', tx_index), 'y') AS v FROM logs", "SELECT block_number, log_index, data_len AS n, ['x', 'y'] AS k, [tx_index] AS v FROM logs"),
     "agg_arrays": ("SELECT address, array_agg(data_len ORDER BY block_number, log_index) AS sizes, string_agg(CAST(log_index AS VARCHAR), '-' ORDER BY block_number, log_index) AS s FROM logs WHERE source = 1 GROUP BY address", "SELECT address, list(data_len ORDER BY block_number, log_index) AS sizes, string_agg(CAST(log_index AS VARCHAR), '-' ORDER BY block_number, log_index) AS s FROM logs WHERE source = 1 GROUP BY address"),
     "agg_ordered_set": ("SELECT address, percentile_cont(0.5) WITHIN GROUP (ORDER BY data_len) AS mid, MEDIAN(block_number) AS m FROM logs GROUP BY address", None),
