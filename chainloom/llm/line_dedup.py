@@ -1,9 +1,11 @@
 """Line dedup: range-partitioned line hashes, streamed in order, answered with keep bitmaps.
 
-A line's key (stripped of ASCII white space, A-Z lower-cased) becomes a 128-bit hash. Only hashes
-move: (hash, document, row, line number), range-partitioned by hash and document and sorted inside each
-partition by hash, then document (largest first), then line number. Because the document is part of the
-range, a hash that a third of all lines share is spread over many partitions.
+A line's key (stripped of ASCII white space, A-Z lower-cased) becomes a 128-bit hash. The texts are split
+once, into a stored table of (hash, document, row, line number), from which the bounds of the ranges are
+sampled too. To find the lines that go, only this table moves: range-partitioned by hash and document and
+sorted inside each partition by hash, then document (largest first), then line number. Because the document
+is part of the range, a hash that a third of all lines share is spread over many partitions; a running
+number, stored with the table, does that for the lines of a row that is repeated over and over.
 
 One pass over a partition streams each hash's documents: the first is its largest, later ones lose the
 line if there are enough of them. Only the hashes at a partition's two edges can go on in another: a
@@ -11,10 +13,13 @@ first pass writes a summary of these (at most two rows a partition, so its size
 of partitions), and the streaming pass reads the neighbours' part of them.
 
 The result is one zlib-compressed bitmap per document with a lost line, bit i telling whether line i
-stays, and never text. `kept_text` applies a bitmap to a text.
+stays, and never text (`keep_bitmaps`). `kept_lines` applies a bitmap to a text; `line_dedup` does so for
+all rows, for which each text moves once, to where its bitmap is.
 
 Defined results: a null or empty text is one empty line; a null id is a document smaller than all
-others; rows that repeat an id are one document, each row with its own bitmap.
+others; rows that repeat an id are one document, each row with its own bitmap; rows that repeat id and text
+share one. A text's length is bounded by memory only; an empty table gives an empty result; other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, cut, partitions
+from .common import SPACES, ascii_lower, cut, join_back, partitions, store
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 NULL_ID = -(2**63)
+#: Running numbers that deal the equal lines of repeated rows.
+DEAL = 4096
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,9 +202,10 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Bits beyond the bitmap's end are lines that stay."""
     spark = df.sparkSession
     rows = line_hashes(df, id_col, text_col, least_chars)
+    rows = store(rows.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(DEAL)).cast("short")))
     order = ["a", "b", F.col("doc").desc()]
-    rows = rows.repartitionByRange(partitions(spark), *order, "row", "pos").sortWithinPartitions(*order, "row", "pos")
-    rows = cut(rows)  # both passes must see the same partitions
+    rows = rows.repartitionByRange(partitions(spark), *order, "row", "pos", "deal").sortWithinPartitions(*order, "row", "pos")
+    rows = cut(rows.drop("deal"))  # both passes must see the same partitions
     edges = rows.mapInArrow(_edges, "part long, a long, b long, top long, low long, docs long").collect()  # two rows a partition at most
     spanning = spark.sparkContext.broadcast(_spanning(edges))
     drops = rows.mapInArrow(_drops(least_docs, spanning), "doc long, row long, pos int")
@@ -213,7 +221,7 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per input row: id_col, n_lines, n_dropped, keep_bitmap (null: all stay), text (what is left), kept_sha256."""
     lost = keep_bitmaps(df, id_col, text_col, least_chars, least_docs)
-    rows = _rows(df, id_col, text_col).join(lost, ["doc", "row"], "left")
+    rows = join_back(_rows(df, id_col, text_col), lost, ["doc", "row"], "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, packed: pd.Series) -> pd.Series:

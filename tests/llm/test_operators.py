@@ -128,6 +128,15 @@ def test_line_runs_split_over_partitions(spark):
     assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in rows], key=str) == brute_lines(docs)
 
 
+def test_line_dedup_of_repeated_rows_and_long_texts(spark):
+    """Lines of a row that is repeated over and over are dealt over partitions; a text of many lines keeps them in order."""
+    long = "\n".join(f"line {i} of a text that has very many of them" for i in range(20_000))
+    docs = [(None, "a line that is repeated\nand one more that is repeated")] * 400 + [(7, long), (8, long + "\nx"), (9, long), (3, "and one more that is repeated"), (4, "and one more that is repeated")]
+    df = frame(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(5).withColumn("deal", F.lit("a")).withColumn("pos", F.lit("b"))
+    rows = line_dedup.line_dedup(df).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in rows], key=str) == brute_lines(docs)
+
+
 # --- SimHash
 
 
