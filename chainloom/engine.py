@@ -156,8 +156,13 @@ class Engine:
     def stream_logs(self, request: LogFilter):
         """Matching rows one after the other, a partition at a time."""
         df = self.get_logs(request)
-        for row in df.toLocalIterator():
-            yield json_value(row, df.schema)
+        with self._slots:
+            self.spark.addTag(self._tag)
+            try:
+                for row in df.toLocalIterator():
+                    yield json_value(row, df.schema)
+            finally:
+                self.spark.removeTag(self._tag)
 
     def status(self) -> dict:
         verified = self.snapshot.verified if self.snapshot is not None else None

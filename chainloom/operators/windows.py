@@ -11,8 +11,3 @@ def groups_frame(df: DataFrame, value: Column, name: str, partition: list[str],
     """value (an aggregate) over GROUPS BETWEEN start AND end peer groups (negative: preceding), as column `name`."""
     ranked = df.withColumn("__peer", F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
     return ranked.withColumn(name, value.over(Window.partitionBy(*partition).orderBy("__peer").rangeBetween(start, end))).drop("__peer")
-
-
-def distinct_sum_over(value: Column, window) -> Column:
-    """SUM(DISTINCT value) over any frame; NULL for a frame without values."""
-    return F.aggregate(F.array_distinct(F.collect_list(value).over(window)), F.lit(None).cast("bigint"), lambda a, v: F.coalesce(a, F.lit(0).cast("bigint")) + v)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,10 @@ def logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(read(spark, sf_dir, "events"))
 
 
+def _wallet(n: int) -> str:
+    return "0x" + hashlib.sha256(f"w:{n}".encode()).hexdigest()[:40]
+
+
 #: The same relation for DuckDB.
 LOGS = f"""SELECT block_number, block_hash, timestamp, tx_hash, tx_index, log_index, address, topic0, topic1, topic2, topic3,
  list_filter([topic0, topic1, topic2, topic3], lambda x: x IS NOT NULL) AS topics, data, CAST((length(data) - 2) // 2 AS BIGINT) AS data_len, source FROM (SELECT
@@ -40,6 +45,7 @@ LOGS = f"""SELECT block_number, block_hash, timestamp, tx_hash, tx_index, log_in
  CASE WHEN event_type = 'error' THEN '0x' || repeat('ab', CAST(event_id % 4 AS INT)) WHEN event_type = 'purchase' AND event_id % 11 = 0 THEN '0x'
   ELSE '0x' || lpad(lower(hex(event_id)), 48, '0') || lpad(lower(hex(CAST(floor(value * 100) AS BIGINT))), 16, '0') END AS data,
  CASE WHEN event_id % 10 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS source FROM events) t"""
+WALLET = _wallet(3)
 AMOUNT = "(CASE WHEN data = '0x' THEN 0::HUGEINT ELSE ('0x' || substr(data, greatest(3, length(data) - 23)))::HUGEINT END)"
 
 #: name -> (engine SQL, DuckDB SQL over `logs` or None where the text is the same)
@@ -104,6 +110,44 @@ ENGINE: dict[str, tuple[str, str | None]] = {
     "fn_struct_map": ("SELECT block_number, log_index, named_struct('a', address, 'n', data_len).n AS n, map_keys(make_map('x', source, 'y', tx_index)) AS k, map_extract(make_map('x', source, 'y', tx_index), 'y') AS v FROM logs", "SELECT block_number, log_index, data_len AS n, ['x', 'y'] AS k, [tx_index] AS v FROM logs"),
     "agg_arrays": ("SELECT address, array_agg(data_len ORDER BY block_number, log_index) AS sizes, string_agg(CAST(log_index AS VARCHAR), '-' ORDER BY block_number, log_index) AS s FROM logs WHERE source = 1 GROUP BY address", "SELECT address, list(data_len ORDER BY block_number, log_index) AS sizes, string_agg(CAST(log_index AS VARCHAR), '-' ORDER BY block_number, log_index) AS s FROM logs WHERE source = 1 GROUP BY address"),
     "agg_ordered_set": ("SELECT address, percentile_cont(0.5) WITHIN GROUP (ORDER BY data_len) AS mid, MEDIAN(block_number) AS m FROM logs GROUP BY address", None),
+    "fn_text": ("SELECT block_number, log_index, ascii(substr(address, 3)) AS a, btrim(address, '0x') AS b, char_length(data) AS c, chr(65 + log_index) AS d, concat_ws('-', address, topic3, source) AS e, ends_with(data, '00') AS f, left(address, 5) AS g, left(address, -30) AS h, right(address, 4) AS i, right(address, -35) AS j, levenshtein(substr(address, 3, 6), 'abcdef') AS k, octet_length(data) AS l, bit_length(address) AS m FROM logs", "SELECT block_number, log_index, ascii(substr(address, 3)) AS a, trim(address, '0x') AS b, length(data)::INT AS c, chr((65 + log_index)::INT) AS d, concat_ws('-', address, topic3, source) AS e, ends_with(data, '00') AS f, left(address, 5) AS g, left(address, -30) AS h, right(address, 4) AS i, right(address, -35) AS j, levenshtein(substr(address, 3, 6), 'abcdef')::INT AS k, strlen(data)::INT AS l, (8 * strlen(address))::INT AS m FROM logs"),
+    "fn_text_edits": ("SELECT block_number, log_index, overlay(address PLACING 'zz' FROM 3 FOR 4) AS a, replace(address, 'a', '_') AS b, rpad(substr(data, 3, 4), 6, '*') AS c, split_part(address, 'a', 2) AS d, substring_index(address, 'a', 1) AS e, to_hex(block_number) AS f, translate(address, 'abc', 'xy') AS g, position('a' IN address) AS h, ltrim(substr(data, 3), '0') AS i, rtrim(data, '0') AS j, initcap(concat('ab ', substr(address, 3, 3))) AS k, contains(address, 'ab') AS l, lower('AB' || data) AS m, find_in_set(substr(address, 3, 1), '1,2,3,e') AS n FROM logs", "SELECT block_number, log_index, left(address, 2) || 'zz' || substr(address, 7) AS a, replace(address, 'a', '_') AS b, rpad(substr(data, 3, 4), 6, '*') AS c, split_part(address, 'a', 2) AS d, split_part(address, 'a', 1) AS e, lower(hex(block_number)) AS f, replace(translate(address, 'ab', 'xy'), 'c', '') AS g, strpos(address, 'a')::INT AS h, ltrim(substr(data, 3), '0') AS i, rtrim(data, '0') AS j, 'Ab ' || upper(substr(address, 3, 1)) || substr(address, 4, 2) AS k, contains(address, 'ab') AS l, lower('AB' || data) AS m, coalesce(list_position(['1', '2', '3', 'e'], substr(address, 3, 1)), 0)::INT AS n FROM logs"),
+    "fn_numbers": ("SELECT block_number, log_index, ROUND(sqrt(data_len), 9) AS a, ROUND(cbrt(data_len), 9) AS b, ROUND(exp(log_index), 9) AS c, ROUND(ln(data_len + 1), 9) AS d, ROUND(log2(data_len + 1), 9) AS e, ROUND(log10(data_len + 1), 9) AS f, ROUND(log(3, data_len + 1), 9) AS g, floor(data_len / 5.0) AS h, ceil(data_len / 5.0) AS i, trunc(data_len / 7.0) AS j, signum(log_index - 1) AS k, factorial(log_index) AS l, lcm(log_index + 1, 6) AS m, iszero(log_index) AS n, isnan(CAST(log_index AS DOUBLE)) AS o FROM logs", "SELECT block_number, log_index, round(sqrt(data_len), 9) AS a, round(cbrt(data_len), 9) AS b, round(exp(log_index), 9) AS c, round(ln(data_len + 1), 9) AS d, round(log2(data_len + 1), 9) AS e, round(log10(data_len + 1), 9) AS f, round(ln(data_len + 1) / ln(3), 9) AS g, floor(data_len / 5.0)::DOUBLE AS h, ceil(data_len / 5.0)::DOUBLE AS i, trunc(data_len / 7.0)::DOUBLE AS j, sign(log_index - 1)::DOUBLE AS k, factorial(log_index::INT)::BIGINT AS l, lcm(log_index + 1, 6)::BIGINT AS m, log_index = 0 AS n, false AS o FROM logs"),
+    "fn_angles": ("SELECT block_number, log_index, ROUND(sin(log_index), 9) AS a, ROUND(cos(log_index), 9) AS b, ROUND(tan(log_index), 9) AS c, ROUND(asin(log_index / 4.0), 9) AS d, ROUND(acos(log_index / 4.0), 9) AS e, ROUND(atan(log_index), 9) AS f, ROUND(atan2(log_index, 2), 9) AS g, ROUND(sinh(log_index), 9) AS h, ROUND(cosh(log_index), 9) AS i, ROUND(tanh(log_index), 9) AS j, ROUND(degrees(log_index), 9) AS k, ROUND(radians(log_index), 9) AS l, ROUND(pi(), 9) AS m, ROUND(cot(log_index + 1), 9) AS n FROM logs", "SELECT block_number, log_index, round(sin(log_index), 9) AS a, round(cos(log_index), 9) AS b, round(tan(log_index), 9) AS c, round(asin(log_index / 4.0), 9) AS d, round(acos(log_index / 4.0), 9) AS e, round(atan(log_index), 9) AS f, round(atan2(log_index, 2), 9) AS g, round(sinh(log_index), 9) AS h, round(cosh(log_index), 9) AS i, round(tanh(log_index), 9) AS j, round(degrees(log_index), 9) AS k, round(radians(log_index), 9) AS l, round(pi(), 9) AS m, round(cot(log_index + 1), 9) AS n FROM logs"),
+    "fn_bits": ("SELECT block_number, log_index, data_len | 5 AS a, data_len & 6 AS b, data_len << 2 AS c, data_len >> 1 AS d, data_len % 5 AS e, 0 - data_len AS f, nvl(NULLIF(source, 0), 9) AS g, nvl2(topic3, 'y', 'n') AS h, least(tx_index, source) AS i, source = 1 AND topic3 IS NULL OR NOT (tx_index = 0) AS j, (topic3 = topic1) IS UNKNOWN AS k, (source = 1) IS NOT TRUE AS l FROM logs", "SELECT block_number, log_index, data_len | 5 AS a, data_len & 6 AS b, data_len << 2 AS c, data_len >> 1 AS d, data_len % 5 AS e, 0 - data_len AS f, coalesce(nullif(source, 0), 9) AS g, CASE WHEN topic3 IS NOT NULL THEN 'y' ELSE 'n' END AS h, least(tx_index, source) AS i, source = 1 AND topic3 IS NULL OR NOT (tx_index = 0) AS j, (topic3 = topic1) IS NULL AS k, (source = 1) IS DISTINCT FROM true AS l FROM logs"),
+    "fn_array_edits": ("SELECT block_number, log_index, array_append(topics, 'x') AS a, array_prepend('x', topics) AS b, array_concat(topics, ARRAY['p', 'q']) AS c, array_slice(topics, 2, 3) AS d, array_pop_back(topics) AS e, array_pop_front(topics) AS f, array_remove(topics, topic0) AS g, array_replace(topics, topic1, 'w') AS h, array_repeat(source, 2) AS i, array_resize(topics, 3, 'z') AS j, topics[1:2] AS k, topics[-1] AS l FROM logs", "SELECT block_number, log_index, list_append(topics, 'x') AS a, list_prepend('x', topics) AS b, list_concat(topics, ['p', 'q']) AS c, topics[2:3] AS d, topics[1:greatest(len(topics) - 1, 0)] AS e, topics[2:] AS f, CASE WHEN topic0 IS NULL THEN topics ELSE topics[2:] END AS g, CASE WHEN topic1 IS NULL THEN topics ELSE list_concat([topic0, 'w'], topics[3:]) END AS h, [source, source] AS i, list_resize(topics, 3, 'z') AS j, topics[1:2] AS k, topics[-1] AS l FROM logs"),
+    "fn_array_sets": ("SELECT block_number, log_index, array_distinct(ARRAY[source, tx_index, log_index]) AS a, array_sort(ARRAY[source, tx_index, log_index]) AS b, array_max(ARRAY[source, tx_index]) AS c, array_min(ARRAY[source, tx_index]) AS d, array_position(ARRAY[3, 2, 1], log_index) AS e, array_has_all(topics, ARRAY[topic1]) AS f, array_has_any(topics, ARRAY['x', topic2]) AS g, string_to_array(substr(address, 3, 9), 'a') AS h, flatten(ARRAY[ARRAY[source], ARRAY[tx_index]]) AS i, range(0, 3) AS j, cardinality(array_union(ARRAY[source, 2], ARRAY[tx_index, 3])) AS k, array_sort(array_except(ARRAY[0, 1, 2, 3], ARRAY[log_index])) AS l FROM logs WHERE topic2 IS NOT NULL", "SELECT block_number, log_index, list_filter([source, tx_index, log_index], lambda x, i: list_position([source, tx_index, log_index], x) = i) AS a, list_sort([source, tx_index, log_index]) AS b, greatest(source, tx_index) AS c, least(source, tx_index) AS d, CASE WHEN log_index = 0 THEN NULL ELSE 4 - log_index END::BIGINT AS e, true AS f, true AS g, string_split(substr(address, 3, 9), 'a') AS h, [source, tx_index] AS i, [0, 1, 2]::INT[] AS j, len(list_distinct([source, 2, tx_index, 3]))::INT AS k, list_filter([0, 1, 2, 3]::BIGINT[], lambda x: x <> log_index) AS l FROM logs WHERE topic2 IS NOT NULL"),
+    "fn_moments": ("SELECT block_number, log_index, CAST(date_trunc('hour', moment) AS VARCHAR) AS a, date_part('doy', moment) AS b, extract(DOW FROM moment) AS c, CAST(to_date(CAST(moment AS VARCHAR)) AS VARCHAR) AS d, to_char(moment, '%Y/%m/%d %H:%M') AS e, CAST(make_date(2020, 2, CAST(log_index + 1 AS INT)) AS VARCHAR) AS f, to_unixtime(moment) AS g, date_part('hour', moment) AS h, CAST(moment + INTERVAL '1 day 2 hours' AS VARCHAR) AS i, moment > TIMESTAMP '2024-01-01 00:00:00' AS j FROM (SELECT block_number, log_index, to_timestamp_seconds(timestamp) AS moment FROM logs) t", "SELECT block_number, log_index, CAST(date_trunc('hour', moment) AS VARCHAR) AS a, date_part('doy', moment)::INT AS b, date_part('dow', moment)::INT AS c, CAST(moment::DATE AS VARCHAR) AS d, strftime(moment, '%Y/%m/%d %H:%M') AS e, CAST(make_date(2020, 2, log_index + 1) AS VARCHAR) AS f, epoch(moment)::BIGINT AS g, date_part('hour', moment)::INT AS h, CAST(moment + INTERVAL '1 day 2 hours' AS VARCHAR) AS i, moment > TIMESTAMP '2024-01-01 00:00:00' AS j FROM (SELECT block_number, log_index, make_timestamp(timestamp * 1000000) AS moment FROM logs) t"),
+    "fn_casts": ("SELECT block_number, log_index, CAST(data_len AS VARCHAR) AS a, TRY_CAST(substr(address, 3, 3) AS BIGINT) AS b, CAST(CAST(data_len AS DECIMAL(12, 2)) / 4 AS DECIMAL(12, 3)) AS c, data_len::DOUBLE AS d, CAST(source AS BOOLEAN) AS e, CAST('1' || CAST(log_index AS VARCHAR) AS BIGINT) AS f, arrow_typeof(data_len) AS g FROM logs", "SELECT block_number, log_index, data_len::VARCHAR AS a, TRY_CAST(CASE WHEN regexp_full_match(substr(address, 3, 3), '[0-9]+') THEN substr(address, 3, 3) END AS BIGINT) AS b, CAST(data_len / 4 AS DECIMAL(12, 3)) AS c, data_len::DOUBLE AS d, source = 1 AS e, 10 + log_index AS f, 'Int64' AS g FROM logs"),
+    "fn_digest_more": ("SELECT block_number, log_index, encode(sha256(address), 'hex') AS a, encode(digest(address, 'md5'), 'hex') AS b, encode(decode(substr(address, 3), 'hex'), 'hex') AS c, encode(decode(substr(address, 3, 6), 'hex'), 'base64') AS d FROM logs", "SELECT block_number, log_index, sha256(address) AS a, md5(address) AS b, substr(address, 3) AS c, rtrim(to_base64(unhex(substr(address, 3, 6))), '=') AS d FROM logs"),
+    "fn_regexp_count": ("SELECT block_number, log_index, regexp_count(address, '[a-f]') AS a, regexp_instr(address, '[a-f]') AS b, regexp_like(address, 'A', 'i') AS c, address SIMILAR TO '0x(1|e)%' AS d, address !~ '^0x1' AS e, address NOT LIKE '%ab%' AS f, regexp_replace(address, '[0-9]+', '#') AS g FROM logs", "SELECT block_number, log_index, len(regexp_extract_all(address, '[a-f]'))::INT AS a, (length(regexp_extract(address, '^[^a-f]*')) + 1)::INT AS b, contains(lower(address), 'a') AS c, regexp_matches(address, '^0x(1|e)') AS d, NOT regexp_matches(address, '^0x1') AS e, NOT contains(address, 'ab') AS f, regexp_replace(address, '[0-9]+', '#') AS g FROM logs"),
+    "agg_approximate": ("SELECT topic0, approx_distinct(address) AS d, abs(approx_percentile_cont(block_number, 0.5) - MEDIAN(block_number)) <= 2 AS near, abs(approx_median(block_number) - MEDIAN(block_number)) <= 2 AS mid FROM logs GROUP BY topic0", "SELECT topic0, COUNT(DISTINCT address) AS d, true AS near, true AS mid FROM logs GROUP BY topic0"),
+    "agg_moments": ("SELECT address, ROUND(stddev_pop(data_len), 6) AS a, ROUND(var_samp(data_len), 6) AS b, ROUND(covar_pop(data_len, log_index), 6) AS c, ROUND(regr_slope(data_len, log_index), 6) AS d, ROUND(regr_intercept(data_len, log_index), 6) AS e, ROUND(regr_r2(data_len, log_index), 6) AS f, regr_count(data_len, log_index) AS g, ROUND(AVG(data_len), 6) AS h FROM logs GROUP BY address", "SELECT address, ROUND(stddev_pop(data_len), 6) AS a, ROUND(var_samp(data_len), 6) AS b, ROUND(covar_pop(data_len, log_index), 6) AS c, ROUND(regr_slope(data_len, log_index), 6) AS d, ROUND(regr_intercept(data_len, log_index), 6) AS e, ROUND(regr_r2(data_len, log_index), 6) AS f, CAST(regr_count(data_len, log_index) AS BIGINT) AS g, ROUND(AVG(data_len), 6) AS h FROM logs GROUP BY address"),
+    "agg_first_last": ("SELECT address, FIRST_VALUE(data_len ORDER BY block_number, log_index) AS a, LAST_VALUE(data_len ORDER BY block_number, log_index) AS b, bit_and(data_len) AS c, bit_or(data_len) AS d, bit_xor(data_len) AS e, bool_and(source = 0) AS f, bool_or(source = 1) AS g, MIN(topic3) AS h FROM logs GROUP BY address", "SELECT address, arg_min(data_len, block_number * 4 + log_index) AS a, arg_max(data_len, block_number * 4 + log_index) AS b, bit_and(data_len) AS c, bit_or(data_len) AS d, bit_xor(data_len) AS e, bool_and(source = 0) AS f, bool_or(source = 1) AS g, MIN(topic3) AS h FROM logs GROUP BY address"),
+    "agg_types": ("SELECT source, SUM(data_len) AS a, SUM(CAST(data_len AS DECIMAL(10, 2))) AS b, SUM(CAST(data_len AS DOUBLE)) AS c, AVG(CAST(data_len AS DECIMAL(10, 2))) AS d, SUM(DISTINCT data_len) AS e, COUNT(topic3) AS f, SUM(CASE WHEN data_len < 0 THEN 1 END) AS g FROM logs GROUP BY source", "SELECT source, SUM(data_len)::BIGINT AS a, SUM(data_len)::DECIMAL(20, 2) AS b, SUM(data_len)::DOUBLE AS c, ((SUM(data_len)::HUGEINT * 2000000 + COUNT(*)) // (2 * COUNT(*)) / 1000000)::DECIMAL(14, 6) AS d, SUM(DISTINCT data_len)::BIGINT AS e, COUNT(topic3) AS f, NULL::BIGINT AS g FROM logs GROUP BY source"),
+    "agg_default_names": ("SELECT COUNT(*), MAX(block_number) FROM logs WHERE topic3 IS NULL", "SELECT COUNT(*) AS \"count(*)\", MAX(block_number) AS \"max(logs.block_number)\" FROM logs WHERE topic3 IS NULL"),
+    "logs_unnest": ("SELECT block_number, log_index, unnest(topics) AS t FROM logs", None),
+    "select_constants": ("SELECT 1 + 1 AS two, 'a' || 'b' AS ab, 7 / 2 AS three, ARRAY[1, 2][2] AS second, NULL IS NULL AS yes", "SELECT 2 AS two, 'ab' AS ab, 3::BIGINT AS three, 2 AS second, true AS yes"),
+    "logs_filter_sets": ("SELECT block_number, log_index, address FROM logs WHERE address IN (SELECT address FROM logs WHERE log_index = 2 AND source = 1) AND (block_number BETWEEN 18000003 AND 18001003 OR data_len NOT IN (32, 0)) AND data < '0xac1' AND topic1 IS NOT NULL", None),
+    "logs_filter_literal": (f"SELECT block_number, log_index FROM logs WHERE topic1 = address'{WALLET}' OR topic2 = address'{WALLET}'", f"SELECT block_number, log_index FROM logs WHERE '0x' || lpad('{WALLET[2:]}', 64, '0') IN (topic1, topic2)"),
+    "logs_semi_anti": ("SELECT a.block_number, a.log_index FROM logs a LEFT SEMI JOIN logs b ON a.topic1 = b.topic2 AND b.source = 1 UNION ALL SELECT c.block_number, c.log_index FROM logs c LEFT ANTI JOIN logs d ON c.tx_hash = d.tx_hash AND d.topic3 IS NOT NULL", "SELECT block_number, log_index FROM logs a WHERE topic1 IN (SELECT topic2 FROM logs WHERE source = 1) UNION ALL SELECT block_number, log_index FROM logs WHERE tx_hash NOT IN (SELECT tx_hash FROM logs WHERE topic3 IS NOT NULL)"),
+    "logs_right_semi_anti": ("SELECT b.block_number, b.log_index FROM logs a RIGHT SEMI JOIN logs b ON a.topic1 = b.topic2 AND a.source = 1 UNION ALL SELECT d.block_number, d.log_index FROM logs c RIGHT ANTI JOIN logs d ON c.tx_hash = d.tx_hash AND c.topic3 IS NOT NULL", "SELECT block_number, log_index FROM logs WHERE topic2 IN (SELECT topic1 FROM logs WHERE source = 1) UNION ALL SELECT block_number, log_index FROM logs WHERE tx_hash NOT IN (SELECT tx_hash FROM logs WHERE topic3 IS NOT NULL)"),
+    "logs_cross_join": ("SELECT a.address, b.topic0 FROM (SELECT DISTINCT address FROM logs) a CROSS JOIN (SELECT DISTINCT topic0 FROM logs) b", None),
+    "logs_outer_joins": ("SELECT a.tx_hash, COUNT(b.log_index) AS n, COUNT(a.log_index) AS m FROM (SELECT * FROM logs WHERE log_index = 0) a FULL JOIN (SELECT * FROM logs WHERE source = 1) b ON a.tx_hash = b.tx_hash GROUP BY a.tx_hash", None),
+    "logs_replace": ("SELECT * EXCLUDE (topics, source) REPLACE (upper(address) AS address, data_len + 1 AS data_len) FROM logs", None),
+    "logs_order_alias": ("SELECT -block_number AS block_number, log_index AS i FROM logs ORDER BY block_number, i DESC LIMIT 30", None),
+    "logs_quoted": ("WITH \"T\" AS (SELECT address AS \"Who\", data_len FROM logs) SELECT \"Who\", COUNT(*) AS n FROM \"T\" WHERE DATA_LEN > 3 GROUP BY \"Who\"", "SELECT address AS \"Who\", COUNT(*) AS n FROM logs WHERE data_len > 3 GROUP BY address"),
+    "logs_nested_cte": ("WITH a AS (WITH b AS (SELECT address, block_number FROM logs WHERE source = 1) SELECT address, MAX(block_number) AS high FROM b GROUP BY address) SELECT logs.address, COUNT(*) AS n FROM logs JOIN a ON logs.address = a.address AND logs.block_number > a.high - 100 GROUP BY logs.address", None),
+    "logs_set_nested": ("(SELECT topic1 AS w FROM logs WHERE source = 1 UNION ALL SELECT topic2 FROM logs) EXCEPT SELECT topic1 FROM logs WHERE block_number < 18000020", None),
+    "logs_derived": ("SELECT n, COUNT(*) AS wallets FROM (SELECT topic1, COUNT(*) AS n FROM logs WHERE topic1 IS NOT NULL GROUP BY topic1) t WHERE n > (SELECT AVG(data_len) FROM logs) GROUP BY n", None),
+    "logs_lateral": ("SELECT a.address, t.block_number FROM (SELECT DISTINCT address FROM logs) a, LATERAL (SELECT MAX(b.block_number) AS block_number FROM logs b WHERE b.address = a.address AND b.source = 1) t", None),
+    "sum_data_or": ("SELECT SUM(data) AS total FROM logs WHERE (topic0 = event'Transfer(address,address,uint256)' OR topic1 = topic2) AND block_number > 18000020", f"SELECT CAST(SUM({AMOUNT}) AS VARCHAR) AS total FROM logs WHERE (topic0 = '{TRANSFER}' OR topic1 = topic2) AND block_number > 18000020"),
+    "sum_data_top": ("SELECT topic1, SUM(data) AS total FROM logs GROUP BY topic1 ORDER BY total DESC, topic1 LIMIT 7", f"SELECT topic1, CAST(SUM({AMOUNT}) AS VARCHAR) AS total FROM logs GROUP BY topic1 ORDER BY SUM({AMOUNT}) DESC, topic1 LIMIT 7"),
+    "sum_data_twice": ("SELECT address, SUM(data) AS a, SUM(data) - SUM(7) AS b, SUM(data) - (SUM(data) + SUM(1)) AS c FROM logs GROUP BY address", f"SELECT address, CAST(SUM({AMOUNT}) AS VARCHAR) AS a, CAST(SUM({AMOUNT}) - SUM(7) AS VARCHAR) AS b, CAST(-SUM(1) AS VARCHAR) AS c FROM logs GROUP BY address"),
+    "window_avg_distinct": ("SELECT block_number, log_index, ROUND(AVG(DISTINCT data_len) OVER (PARTITION BY address ORDER BY block_number, log_index ROWS UNBOUNDED PRECEDING), 9) AS a FROM logs", "SELECT block_number, log_index, round(list_avg(list_distinct(list(data_len) OVER (PARTITION BY address ORDER BY block_number, log_index ROWS UNBOUNDED PRECEDING))), 9) AS a FROM logs"),
+    "window_sliding_avg": ("SELECT block_number, log_index, ROUND(AVG(data_len) OVER (PARTITION BY address ORDER BY block_number, log_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS a, COUNT(topic3) OVER (PARTITION BY address ORDER BY block_number, log_index ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS b, AVG(CASE WHEN data_len > 90 THEN data_len END) OVER (PARTITION BY address) AS c, LAST_VALUE(log_index) OVER (PARTITION BY address ORDER BY block_number, log_index ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS d FROM logs", None),
+    "metadata_text": ("SELECT column_name FROM information_schema.columns WHERE ordinal_position = '3' OR column_name BETWEEN 'topic0' AND 'topic3'", "SELECT * FROM (VALUES ('timestamp'), ('topic0'), ('topic1'), ('topic2'), ('topic3')) t(column_name)"),
+    "logs_any_all": ("SELECT block_number, log_index FROM logs WHERE topic1 = ANY (SELECT topic2 FROM logs WHERE source = 1) AND address <> ALL (SELECT address FROM logs WHERE block_number = 18000000 AND log_index < 2)", "SELECT block_number, log_index FROM logs WHERE topic1 IN (SELECT topic2 FROM logs WHERE source = 1) AND address NOT IN (SELECT address FROM logs WHERE block_number = 18000000 AND log_index < 2)"),
     "values_table": ("SELECT x, y, x IN (1, NULL) AS i FROM (VALUES (1, 'a'), (2, NULL), (NULL, 'c')) t(x, y)", None),
     "generate_series": ("SELECT value * value AS v FROM generate_series(1, 100)", "SELECT CAST(i * i AS BIGINT) AS v FROM generate_series(1, 100) t(i)"),
     "metadata_columns": ("SELECT column_name, ordinal_position, is_nullable, data_type FROM information_schema.columns WHERE table_name = 'logs' AND ordinal_position > 7", "SELECT * FROM (VALUES ('topic0', 8::BIGINT, 'YES', 'text'), ('topic1', 9, 'YES', 'text'), ('topic2', 10, 'YES', 'text'), ('topic3', 11, 'YES', 'text'), ('topics', 12, 'NO', 'ARRAY'), ('data', 13, 'NO', 'text'), ('data_len', 14, 'NO', 'bigint'), ('source', 15, 'NO', 'bigint')) t(column_name, ordinal_position, is_nullable, data_type)"),
@@ -142,12 +186,6 @@ TPCH: dict[str, str] = {
 }
 
 
-def _wallet(n: int) -> str:
-    import hashlib
-
-    return "0x" + hashlib.sha256(f"w:{n}".encode()).hexdigest()[:40]
-
-
 def _net_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net_flow(public_view(logs_of(spark, sf_dir)), _wallet(3))
 

@@ -39,7 +39,13 @@ def changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(CHANGES).parquet(path)
 
 
-def _deliver(stream: DataFrame, shape: Callable[[DataFrame], DataFrame], sink: Callable[[list], None], checkpoint: str, once: bool) -> StreamingQuery:
+def _deliver(stream: DataFrame, shape: Callable[[DataFrame], DataFrame], sink: Callable[[list], None] | str, checkpoint: str, once: bool) -> StreamingQuery:
+    """Rows go to a function on the driver, one after the other in order, or, if `sink` is a path, to a Parquet table there:
+    written by the executors, each change once, its order in `seq` and `removed`."""
+    if isinstance(sink, str):
+        writer = shape(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
     def batch(rows: DataFrame, _: int) -> None:
         ordered = shape(rows.orderBy("seq", F.col("removed").desc(), *KEY))
         for row in ordered.toLocalIterator():  # a subscriber's own rows, a partition at a time

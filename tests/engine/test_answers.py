@@ -99,3 +99,27 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     with pytest.raises(SnapshotChanged):
         b._commit(old, old)
     assert b.manifest().version == 1
+
+
+def test_members_of_subqueries(engine):
+    assert rows(engine, "SELECT v FROM (VALUES (1), (2), (3)) t(v) WHERE v = ANY (SELECT x FROM (VALUES (2), (9)) u(x))") == [(2,)]
+    assert rows(engine, "SELECT v FROM (VALUES (1), (2), (3)) t(v) WHERE v <> ALL (SELECT x FROM (VALUES (2), (3)) u(x))") == [(1,)]
+    with pytest.raises(SyntaxRejected):
+        engine.sql("SELECT v FROM (VALUES (1)) t(v) WHERE v < ANY (SELECT 1)")
+
+
+def test_exclude_and_replace(engine):
+    df = engine.sql("SELECT * EXCLUDE (a) REPLACE (b + 1 AS b) FROM (VALUES (1, 2, 3)) t(a, b, c)")
+    assert sorted(df.columns) == ["b", "c"] and df.first().asDict() == {"b": 3, "c": 3}
+
+
+def test_dollar_strings(engine):
+    assert rows(engine, "SELECT $$it's \\ $$ AS s") == [("it's \\ ",)]
+
+
+@pytest.mark.parametrize(
+    ("text", "pattern", "like"),
+    [("abc", "a%", True), ("abc", "a_c", True), ("abc", "a.c", False), ("a.c", "a.c", True), ("abc", "b", False), ("abab", "(ab)+", True), ("a$", "a$", True), ("b", "[^a]", True), ("a%", r"a\%", True), ("ab", r"a\%", False), ("x", "x|y", True)],
+)
+def test_similar_to(engine, text, pattern, like):
+    assert rows(engine, f"SELECT '{text}' SIMILAR TO '{pattern}' AS r") == [(like,)]

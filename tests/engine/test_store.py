@@ -186,6 +186,18 @@ def test_subscriptions(spark, tmp_path):
     assert [(r.block_number, r.removed) for r in got] == [(2, False)] and next(marks) == 0
 
 
+def test_subscription_to_a_table(spark, tmp_path):
+    """Rows of a live filter as a table: each change once, also over a restart."""
+    path, out, marks = (str(tmp_path / x) for x in ("changes", "out", "marks"))
+    for seq in (1, 2):
+        live.publish(frame(spark, [log(10 * seq, 0, address=A), log(10 * seq, 1, address=B)]), path, seq)
+        live.subscribe_logs(live.changes(spark, path), {"address": A}, out, marks, once=True).awaitTermination()
+    live.publish(frame(spark, [log(20, 0, address=A)]), path, 3, removed=True)
+    live.subscribe_logs(live.changes(spark, path), {"address": A}, out, marks, once=True).awaitTermination()
+    found = spark.read.parquet(out).orderBy("seq")
+    assert [(r.seq, r.block_number, r.removed) for r in found.collect()] == [(1, 10, False), (2, 20, False), (3, 20, True)]
+
+
 def test_session_bounds(monkeypatch):
     monkeypatch.setattr(live, "RETAINED", 3)
     s = live.Session("s", "dashboard")
