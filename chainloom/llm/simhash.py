@@ -63,11 +63,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
 
 
-def _rotate(a: np.ndarray, n: int) -> np.ndarray:
-    n %= 64
-    return a if n == 0 else (a << np.uint64(n)) | (a >> np.uint64(64 - n))
-
-
 def gray_rank(a: np.ndarray) -> np.ndarray:
     """Where a bit pattern stands in Gray order: patterns with the same leading bits stand together."""
     for s in (1, 2, 4, 8, 16, 32):
