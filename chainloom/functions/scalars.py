@@ -210,7 +210,7 @@ EXPRESSIONS = {
     # numbers
     ("ceil", 1): _args("CAST(ceil({0}) AS DOUBLE)"), ("floor", 1): _args("CAST(floor({0}) AS DOUBLE)"), ("iszero", 1): _args("({0} = 0)"), ("log", 1): _args("log10({0})"), ("gcd", 2): lambda a: _gcd(*a), ("lcm", 2): lambda a: f"(CASE WHEN {a[0]} = 0 OR {a[1]} = 0 THEN 0 ELSE abs({a[0]} div {_gcd(*a)} * {a[1]}) END)",
     ("trunc", 1): _args("(sign({0}) * floor(abs({0})))"), ("trunc", 2): _args("(sign({0}) * floor(abs({0}) * power(10, {1})) / power(10, {1}))"),
-    ("approx_median", 1): _args("percentile_approx({0}, 0.5)"), ("approx_percentile_cont", 2): _args("percentile_approx({0}, {1})"), ("approx_percentile_cont", 3): _args("percentile_approx({0}, {1}, {2})"), ("approx_percentile_cont_with_weight", 3): _args("percentile({0}, {2}, {1})"),
+    ("approx_median", 1): lambda a: percentile_of(a[0], "0.5D"), ("approx_percentile_cont", 2): lambda a: percentile_of(*a), ("approx_percentile_cont", 3): lambda a: percentile_of(*a[:2]), ("approx_percentile_cont_with_weight", 3): _args("percentile({0}, {2}, {1})"),
     # dates
     ("date_bin", 2): lambda a: _date_bin(*a), ("date_bin", 3): lambda a: _date_bin(*a), ("date_part", 2): _date_part, ("datepart", 2): _date_part, ("to_timestamp_nanos", 1): _args("timestamp_micros({0} div 1000)"), ("to_local_time", 1): _args("CAST({0} AS TIMESTAMP_NTZ)"),
     ("to_char", 2): _dated("date_format"), ("date_format", 2): _dated("date_format"), ("to_date", 2): _dated("to_date"), ("to_timestamp", 2): _dated("to_timestamp"),
@@ -246,8 +246,20 @@ def rewrite(name: str, args: list[str]) -> str | None:
     return made(args) if made else None
 
 
+def percentile_of(x: str, p: str) -> str:
+    """Exact, since a sketch's error grows with the rows. By its weight of 1L, `division.run` knows that it is of x's type."""
+    return f"percentile({x}, {p}, 1L)"
+
+
+def sketched(name: str, args: list[str]) -> str | None:
+    """An approximate percentile as one call, which FILTER or OVER may follow."""
+    if (name, len(args)) == ("approx_median", 1):
+        return f"percentile_approx({args[0]}, 0.5)"
+    return f"percentile_approx({', '.join(args)})" if name == "approx_percentile_cont" and len(args) in (2, 3) else None
+
+
 def _percentile(key: str, a: list[str], down: bool) -> str:
-    return f"percentile_approx({key}, {f'1 - {a[0]}' if down else a[0]}{', ' + a[1] if len(a) > 1 else ''})"
+    return percentile_of(key, f"1 - {a[0]}" if down else a[0])
 
 
 #: f(arguments) WITHIN GROUP (ORDER BY key).

@@ -289,3 +289,14 @@ def test_default_names(engine):
     assert engine.sql("SELECT source, COUNT(1) FROM logs GROUP BY source ORDER BY source").columns == ["source", "count"]
     assert engine.sql("SELECT COUNT(*), MAX(block_number) FROM logs WHERE source = 0").columns == ["count(*)", "max(logs.block_number)"]
     assert engine.sql("SELECT address, COUNT(*) FROM logs GROUP BY address HAVING COUNT(*) > 1 ORDER BY COUNT(*) DESC LIMIT 3").collect()[0]["count(*)"] == 6
+
+
+def test_percentiles_of_many_values(engine):
+    """A sketch of the usual accuracy is off by tens of ranks here."""
+    row = engine.sql(
+        "SELECT approx_median(value) AS a, approx_percentile_cont(value, 0.25) AS b, approx_percentile_cont(0.25) WITHIN GROUP (ORDER BY value DESC) AS c, "
+        "approx_median(value) FILTER (WHERE value < 100001) AS d, approx_percentile_cont(0.5) WITHIN GROUP (ORDER BY value) FILTER (WHERE value > 400000) AS e, "
+        "approx_median(value + 0.5) AS f FROM generate_series(0, 400000)"
+    )
+    assert [t for _, t in row.dtypes] == ["bigint"] * 5 + ["double"]
+    assert tuple(row.first()) == (200000, 100000, 300000, 50000, None, 200000.5)
