@@ -11,6 +11,7 @@ from chainloom.engine import Engine
 from chainloom.errors import EngineError, SyntaxRejected
 from chainloom.functions.keccak import address_topic, event_topic, keccak256
 from chainloom.operators import hexsum
+from chainloom.plans.dialect import to_spark
 from chainloom.plans.rewrite import rewrite
 from chainloom.plans.validate import validate
 from chainloom.sources.schema import APPROVAL, DEPOSIT, STORED, TRANSFER, WITHDRAWAL, from_receipts, generated
@@ -188,3 +189,33 @@ def test_receipts_and_generator(spark):
     for profile in ("dense", "sparse"):
         df = generated(spark, 700, profile)
         assert df.count() == 700 and df.where(f"topic0 = '{TRANSFER}'").count() == 560 and df.where("(length(data) - 2) div 2 <> data_len").count() == 0
+
+
+@pytest.mark.parametrize("frame", ["", "ROWS UNBOUNDED PRECEDING", "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING", "ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING", "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"])
+def test_running_distinct(engine, frame):
+    """Without a list of the frame's values a row, whose work grows with the square of a partition."""
+    rng = random.Random(3)
+    rows = [(i % 2, i // 6, rng.choice([1.5, 2.5, -4.0, None]), i) for i in range(40)]
+    where = ", ".join(f"({g}, {t}, {'NULL' if x is None else x}, {i})" for g, t, x, i in rows)
+    order = "t, i" if "ROWS" in frame else "t"
+    sql = f"SELECT i, AVG(DISTINCT x) OVER (PARTITION BY g ORDER BY {order} {frame}) AS a, SUM(DISTINCT v.x * 2) OVER (PARTITION BY g ORDER BY {order} {frame}) AS s FROM (VALUES {where}) v(g, t, x, i) WHERE i < 36"
+    assert "collect" not in to_spark(sql)
+
+    def seen(row):
+        mine = [r for r in rows if r[0] == row[0] and r[3] < 36]
+        if "UNBOUNDED FOLLOWING" not in frame:
+            mine = [r for r in mine if (r[3] <= row[3] - (4 if "2 PRECEDING" in frame else 0) if "ROWS" in frame else r[1] <= row[1] + ("1 FOLLOWING" in frame))]
+        return {r[2] for r in mine} - {None}
+
+    want = {r[3]: (sum(s) / len(s) if s else None, 2 * sum(s) if s else None) for r in rows if r[3] < 36 for s in [seen(r)]}
+    assert {r.i: (r.a, r.s) for r in engine.sql(sql).collect()} == want
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT SUM(DISTINCT x) OVER (ORDER BY i) AS s FROM (VALUES (1, 5), (2, 5), (3, 6)) t(i, x) QUALIFY row_number() OVER (ORDER BY i) > 1 ORDER BY s", [(5,), (11,)]),
+    ("SELECT a.x, AVG(DISTINCT a.x) OVER (ORDER BY a.i) AS s FROM (VALUES (1, 5), (2, 7)) a(i, x) JOIN (VALUES (1), (2)) b(i) ON a.i = b.i ORDER BY 1", [(5, 5.0), (7, 6.0)]),
+    ("WITH t AS (SELECT 1.0 AS x UNION ALL SELECT 4.0) SELECT SUM(DISTINCT x) OVER () AS s FROM t UNION ALL SELECT SUM(DISTINCT x) OVER (ORDER BY x DESC) FROM t ORDER BY s", [(4.0,), (5.0,), (5.0,), (5.0,)]),
+    ("SELECT *, SUM(DISTINCT x) OVER (ORDER BY x) AS s FROM (VALUES (1), (1), (2)) t(x) ORDER BY x", [(1, 1), (1, 1), (2, 3)]),
+])
+def test_distinct_over_clauses(engine, sql, want):
+    assert [tuple(r) for r in engine.sql(sql).collect()] == want
