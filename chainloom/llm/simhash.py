@@ -45,7 +45,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     if not w:
         return 0
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8")
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -129,6 +133,19 @@ def index_join(group: np.ndarray, fp: np.ndarray, lead: int, most: int, step: in
     return a[keep], b[keep]
 
 
+def near(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's fingerprints, by an index over them: for each row, which of the different ones it has (in Gray order); and a
+    table of which of these are within `most` bits of each other."""
+    distinct, which = np.unique(fp, return_inverse=True)
+    order = np.argsort(gray_rank(distinct))
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    a, b = index_join(np.zeros(len(order), np.int64), distinct[order], 0, most)
+    close = np.eye(len(order), dtype=bool)
+    close[a, b] = close[b, a] = True
+    return place[which], close
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each row, the smallest row of its component."""
     root = np.arange(n)

@@ -45,6 +45,31 @@ def test_index_finds_what_all_pairs_do(spark, documents, most, crowd):
     assert {r.doc_id: r.fingerprint for r in got} == {d: f"{int(x):016x}" for (d, _), x in zip(rows, fp, strict=True)}
 
 
+@pytest.mark.parametrize("most", [3, 12, jaccard.MOST])
+def test_index_of_a_bucket(most):
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**64, 60, dtype=np.uint64)[rng.integers(0, 60, 400)]  # many of them equal
+    for _ in range(6):
+        fp ^= np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64) * (rng.random(400) < 0.5)
+    which, close = simhash.near(fp, most)
+    assert (close[which][:, which] == (np.bitwise_count(fp[:, None] ^ fp) <= most)).all()
+
+
+def test_links_come_from_the_index(spark, monkeypatch):
+    """Of a bucket's rows the index's candidates alone are checked, and of its smallest text's only those within as many bits."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words, "a"]), " ".join(["b", *words])]
+    sets = [jaccard.shingles(t) for t in texts]
+    fp, label = np.array([simhash.majority(s) for s in sets], np.uint64), np.arange(3)
+    assert 0 < max(np.bitwise_count(fp ^ fp[0])) <= jaccard.MOST
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(jaccard.bucket_links(sets, fp, label)) == 2 and {r.root for r in jaccard.roots(docs).collect()} == {0}
+    monkeypatch.setattr(jaccard, "MOST", -1)
+    assert {r.id: r.root for r in jaccard.roots(docs.where("doc_id < 2")).collect()} == {0: 0, 1: 1}
+    monkeypatch.setattr(jaccard, "near", lambda fp, most: (label, np.eye(3, dtype=bool)))
+    assert jaccard.bucket_links(sets, fp, label) == []
+
+
 def test_similar_texts_are_what_all_pairs_say(spark, documents):
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     words = [(t or "").encode().lower().split() for _, t in rows]
@@ -57,6 +82,8 @@ def test_similar_texts_are_what_all_pairs_say(spark, documents):
     for i, s in enumerate(sets):
         shared = collections.Counter(j for g in s for j in holders[g] if j < i)
         pairs += [(i, j) for j, n in shared.items() if 10 * n >= 8 * (len(s) + len(sets[j]) - n)]
+    fp = [simhash.majority(jaccard.shingles(t)) for _, t in rows]
+    assert max((fp[i] ^ fp[j]).bit_count() for i, j in pairs) <= jaccard.MOST
     want = {rows[i][0]: rows[r][0] for i, r in enumerate(joined(len(rows), pairs))}
     assert {r.id: r.root for r in jaccard.roots(documents, crowd=4).collect()} == want
     kept = jaccard.keep_representatives(documents).agg(F.count(F.lit(1))).first()[0]
