@@ -227,8 +227,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     def kept(text: pd.Series, packed: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(kept_lines(t, b)) for t, b in zip(text, packed, strict=True)], dtype=object)
 
+    given = F.when(F.col("keep_bitmap").isNotNull(), F.col("text"))  # Python gets no text that stays as it is
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    rows = rows.select("id", n_lines.cast("long").alias("n_lines"), F.coalesce("dropped", F.lit(0)).cast("long").alias("n_dropped"), "keep_bitmap", F.when(F.col("keep_bitmap").isNull(), F.col("text")).otherwise(kept("text", "keep_bitmap")).alias("kept"))
+    rows = rows.select("id", n_lines.cast("long").alias("n_lines"), F.coalesce("dropped", F.lit(0)).cast("long").alias("n_dropped"), "keep_bitmap", F.when(F.col("keep_bitmap").isNull(), F.col("text")).otherwise(kept(given, "keep_bitmap")).alias("kept"))
     return rows.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "keep_bitmap", F.col("kept").alias("text"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

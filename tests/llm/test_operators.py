@@ -122,6 +122,14 @@ def test_line_dedup(spark, seed):
         assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_line_dedup_sends_no_whole_text_to_python(spark):
+    line = "a line that three documents have in common"
+    docs = spark.createDataFrame([(1, line), (2, f"{line}\nx"), (3, line), (4, "y"), (5, None)], "doc_id long, text string")
+    out = line_dedup.line_dedup(docs)
+    assert re.search(r"kept\(CASE WHEN isnotnull\(keep_bitmap#\d+\) THEN text#\d+ END, keep_bitmap", out._jdf.queryExecution().optimizedPlan().toString())
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "", 2: "x", 3: line, 4: "y", 5: ""}
+
+
 def test_line_runs_split_over_partitions(spark):
     docs = [(i, "one line that all documents share\nline of its own %05d-----" % i) for i in range(600)]
     rows = line_dedup.line_dedup(frame(spark, [t for _, t in docs]).repartition(7)).collect()
