@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import string
 import tempfile
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the text contracts: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
+#: What a batch of rows on its way to Python takes at most (but for one long row), and a file of few rows at least.
+BATCH_BYTES, FILE_BYTES = 4 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python by bytes, so that a worker's memory doesn't follow the texts' lengths; a size that the session was
+    given is left. A plan takes the size when it is run, so it is set for the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def gathered(df: DataFrame, n_bytes: int) -> DataFrame:
+    """Rows of some n_bytes in as few partitions as fit, one a core at least, without a move: where Hadoop has no native library,
+    executors start processes for each local file that they write, however small."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_bytes / FILE_BYTES)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: lost executors don't lose it, and lineage ends here."""
     shared_dir(df.sparkSession)

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,7 +140,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, te
     for r in sorted(sizes, key=lambda r: (r["bucket_len"], r["shard"])):
         offsets.append((r["bucket_len"], r["shard"], at.get(r["bucket_len"], 0)))
         at[r["bucket_len"]] = offsets[-1][2] + r["n"]
-    small = df.sparkSession.createDataFrame(offsets, "bucket_len int, shard int, first long")
+    kinds = pa.schema([("bucket_len", pa.int32()), ("shard", pa.int32()), ("first", pa.int64())])
+    small = df.sparkSession.createDataFrame(pa.table(list(zip(*offsets, strict=True)) or [[], [], []], schema=kinds))  # a list would go through Python workers
     so_far = Window.partitionBy("bucket_len", "shard").orderBy("id", "segment", "n_tokens", "lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.withColumn("i", F.sum("copies").over(so_far) - F.col("copies")).join(F.broadcast(small), ["bucket_len", "shard"])
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))

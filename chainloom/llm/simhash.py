@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_back, partitions
+from .common import cut, gathered, join_back, partitions
 
 CROWD = 1024
 #: Bits of the tree's levels below the band; finer levels prune earlier.
@@ -252,14 +252,14 @@ def links(nodes: DataFrame, most: int = 3, crowd: int = CROWD) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it reaches) for nodes with an edge (u, v); large-star/small-star rounds."""
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
+    before, n = None, e.count()  # rounds add no links
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = cut(small.where("u <> v").distinct())
+        e = cut(gathered(small.where("u <> v").distinct(), 64 * n))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

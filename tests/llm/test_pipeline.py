@@ -78,3 +78,47 @@ def test_near_stage_is_jaccard(spark, crowd):
     assert {r.id: r.root for r in jaccard.roots(df, crowd=crowd).collect()} == dict(enumerate(root))
     kept = [r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()]
     assert sorted(kept, key=str) == sorted([*{*root}, None], key=str) and len(kept) < 0.8 * len(docs)
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark, corpus):
+    path, _, _ = corpus
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+
+    @F.pandas_udf("long")
+    def batch(s):
+        return __import__("pandas").Series([int(s.str.len().sum())] * len(s))
+
+    long = spark.range(400, numPartitions=1).select(F.concat(F.expr("repeat('word and ', 6000)"), F.col("id").cast("string")).alias("text"))
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            if stage is not corpus_pipeline.exact_stage:  # has no Python
+                stage(spark, table(spark, path, "documents"), path)
+                assert long.select(F.max(batch("text"))).first()[0] <= (4 << 20) + 60_000, stage.__name__
+        spark.conf.set(key, "1m")
+        corpus_pipeline.near_stage(spark, table(spark, path, "documents"), path)
+        assert spark.conf.get(key) == "1m"  # what a session was given stays
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_few_links_make_few_files(spark):
+    wide, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    n, was = spark.conf.get(wide), spark.conf.get(coalesce)
+    spark.conf.set(wide, "40")
+    spark.conf.set(coalesce, "false")
+    try:
+        out = simhash.components(spark.range(300).select((F.col("id") + 1).alias("u"), F.expr("id - id % 10").alias("v")))
+        assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {(r.node, r.root) for r in out.collect()} == {(i, 0) for i in range(1, 301)}
+    finally:
+        spark.conf.set(wide, n)
+        spark.conf.set(coalesce, was)
+
+
+def test_packing_starts_no_workers_for_its_offsets(spark):
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    plan = packing.pack(rows, length=F.col("doc_id") % 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD [bucket_len" not in plan and "applySchemaToPythonRDD" not in plan
+    assert packing.pack(rows.where("false"), length=F.col("doc_id")).count() == 0
