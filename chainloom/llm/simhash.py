@@ -35,6 +35,8 @@ from .common import cut, gathered, join_back, partitions
 CROWD = 1024
 #: Bits of the tree's levels below the band; finer levels prune earlier.
 STEP = 12
+#: Pairs of tree nodes that are held at a time on a level (but for those of one pair above).
+PAIRS = 250_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -109,7 +111,7 @@ def index_join(group: np.ndarray, fp: np.ndarray, lead: int, most: int, step: in
         to = min(64, edge + step)
         mask = np.uint64(((1 << (to - edge)) - 1) << (64 - to))
         pairs = count[a] * count[b]
-        cuts = np.searchsorted(np.cumsum(pairs), np.arange(2_000_000, pairs.sum() + 2_000_000, 2_000_000), side="left") + 1
+        cuts = np.searchsorted(np.cumsum(pairs), np.arange(PAIRS, pairs.sum() + PAIRS, PAIRS), side="left") + 1
         at = 0
         for end in [*cuts.tolist(), len(a)]:
             end = min(end, len(a))
@@ -249,9 +251,11 @@ def links(nodes: DataFrame, most: int = 3, crowd: int = CROWD) -> DataFrame:
     return spread.mapInPandas(search, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node it reaches) for nodes with an edge (u, v); large-star/small-star rounds."""
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, root (the smallest node it reaches) for nodes with an edge (u, v); large-star/small-star rounds. most: a number
+    that there aren't more edges than, if one is known (it only bears on partitions)."""
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    e = cut(e if most is None else gathered(e, 64 * most))
     before, n = None, e.count()  # rounds add no links
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
